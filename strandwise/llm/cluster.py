@@ -92,3 +92,9 @@ def bucket_of(column: str, bounds: list[int]) -> Column:
 
     return tree(0, len(bounds))
 
+
+
+def let(value: Column, f) -> Column:
+    """f(value), with the value computed once: as a lambda's variable no rule of the optimizer can
+    copy its expression to every place (or into an inner lambda) where f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))

@@ -29,7 +29,7 @@ WINDOW = 20
 BUCKET_BITS = 12
 FLUSH = 1 << 20
 PACKED = "bucket int, local boolean, h binary, g binary, id binary, pos binary"
-FOUND = "id_ bigint, pos binary"
+FOUND = "owner int, id binary, pos binary"
 
 
 def _valid(words: Words, length: int) -> np.ndarray:
@@ -69,7 +69,7 @@ def _pack(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     yield from _rows(bucket[lead], False, h[lead], g[lead] if len(g) else g, ids[lead], pos[lead], bool(len(g)))
     at = np.flatnonzero(found)
     at = at[np.lexsort((pos[at], ids[at]))]
-    yield from _rows((mix(ids[at].view(np.uint64)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32), True, h[:0], g[:0], ids[at], pos[at], bool(len(g)))
+    yield from _rows(_owner(ids[at]), True, h[:0], g[:0], ids[at], pos[at], bool(len(g)))
 
 
 def _rows(bucket: np.ndarray, local: bool, h: np.ndarray, g: np.ndarray, ids: np.ndarray, pos: np.ndarray, wide: bool) -> Iterator[pa.RecordBatch]:
@@ -88,16 +88,49 @@ def _rows(bucket: np.ndarray, local: bool, h: np.ndarray, g: np.ndarray, ids: np
     yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]], pa.int32()), pa.array([local] * n), cut(h), cut(g), cut(ids.astype("<i8")), cut(pos.astype("<i4"))], names=["bucket", "local", "h", "g", "id", "pos"])
 
 
-def _by_text(ids: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(id_, pos): the places of each text, packed."""
+def _owner(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+
+
+def _finds(ids: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Finds packed by groups of texts, so that a reducer's rows don't multiply with the texts."""
     if not len(ids):
         return
-    order = np.lexsort((pos, ids))
-    ids, pos = ids[order], pos[order].astype("<i4")
-    edge = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]])
-    for k in range(0, len(edge) - 1, 50_000):
-        part = list(zip(edge[k : k + 50_000], edge[k + 1 : k + 50_001], strict=False))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[[a for a, _ in part]]), pa.array([pos[a:b].tobytes() for a, b in part], pa.binary())], names=["id_", "pos"])
+    owner = _owner(ids)
+    order = np.lexsort((pos, ids, owner))
+    owner, ids, pos = owner[order], ids[order], pos[order]
+    edge = np.concatenate([[0], np.flatnonzero(owner[1:] != owner[:-1]) + 1, [len(owner)]])
+    spans = list(zip(edge[:-1], edge[1:], strict=True))
+    cols = [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (ids.astype("<i8"), pos.astype("<i4"))]
+    yield pa.RecordBatch.from_arrays([pa.array(owner[edge[:-1]], pa.int32()), *cols], names=["owner", "id", "pos"])
+
+
+def _by_text(found: DataFrame) -> DataFrame:
+    """(id_, places): one row for each text with finds; places are packed int32, ascending."""
+
+    def rows(parts: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        ids = np.concatenate([np.frombuffer(a, "<i8") for a, _ in parts])
+        pos = np.concatenate([np.frombuffer(b, "<i4") for _, b in parts])
+        order = np.lexsort((pos, ids))
+        ids, pos = ids[order], pos[order]
+        edge = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]])
+        places = pa.array([pos[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(ids[edge[:-1]]), places], names=["id_", "places"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            for owner, ids, pos in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if owner != now and parts:
+                    yield rows(parts)
+                    parts = []
+                now = owner
+                parts.append((ids, pos))
+        if parts:
+            yield rows(parts)
+
+    dealt = found.repartition(partitions(found.sparkSession), "owner").sortWithinPartitions("owner")
+    return dealt.mapInArrow(run, "id_ bigint, places binary")
 
 
 class _Held:
@@ -143,7 +176,7 @@ def _level_one(docs: DataFrame, half: int) -> DataFrame:
 
 
 def _level_two(candidates: DataFrame, half: int) -> DataFrame:
-    """candidates: id_, text and the places (array of packed arrays) of its repeated anchors."""
+    """candidates: id_, text and the places (packed int32) of its repeated anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held()
@@ -156,8 +189,7 @@ def _level_two(candidates: DataFrame, half: int) -> DataFrame:
                 starts = _valid(words, 2 * half)
                 live = np.zeros(len(h), dtype=bool)
                 for k in range(a, b):
-                    for x in places[k] or ():
-                        live[words.first[k - a] + np.frombuffer(x, dtype="<i4")] = True
+                    live[words.first[k - a] + np.frombuffer(places[k], dtype="<i4")] = True
                 starts = starts[live[_anchor_starts(mix(h), half, starts)]]
                 h, g = (mix(join_hashes(x, x, half, half))[starts] if len(starts) else x[:0] for x in (h, g))
                 text, pos = _local(words, starts)
@@ -169,7 +201,7 @@ def _level_two(candidates: DataFrame, half: int) -> DataFrame:
 
 
 def _reduce(packed: DataFrame, wide: bool) -> DataFrame:
-    """(id_, pos): level one's places of repeated hashes, or level two's later places."""
+    """Level one's places of repeated hashes, or level two's later places, by text."""
 
     def settle(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         h = np.concatenate([np.frombuffer(r[0], dtype="<u8" if wide else "<u4") for r in rows])
@@ -200,25 +232,24 @@ def _reduce(packed: DataFrame, wide: bool) -> DataFrame:
                 else:
                     rows.append(tuple(cols))
             if n >= FLUSH:
-                yield from _by_text(*(np.concatenate([x[k] for x in out]) for k in (0, 1)))
+                yield from _finds(*(np.concatenate([x[k] for x in out]) for k in (0, 1)))
                 out, n = [], 0
         if rows:
             out.append(settle(rows))
         if out:
-            yield from _by_text(*(np.concatenate([x[k] for x in out]) for k in (0, 1)))
+            yield from _finds(*(np.concatenate([x[k] for x in out]) for k in (0, 1)))
 
     dealt = packed.repartition(partitions(packed.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, FOUND)
+    return _by_text(dealt.mapInArrow(run, FOUND))
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(id_, pos): for each text (id_, text) the places (packed int32 arrays) of its windows whose
+    """(id_, places): for each text (id_, text) the places (packed int32) of its windows whose
     words also start earlier. window: an even number of words."""
     if window < 2 or window % 2:
         raise ValueError("window is an even number of words")
     half = window // 2
-    first = _reduce(_level_one(docs, half), False)
-    places = first.groupBy("id_").agg(F.collect_list("pos").alias("places"))
+    places = _reduce(_level_one(docs, half), False)
     return _reduce(_level_two(docs.join(places, "id_").select("id_", "text", "places"), half), True)
 
 
@@ -233,9 +264,9 @@ def _finish(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
                 n_words.append(len(words))
                 if places:
                     edge = np.zeros(len(words) + 1, dtype=np.int32)
-                    at = np.unique(np.concatenate([np.frombuffer(x, dtype="<i4") for x in places]))
-                    edge[at] += 1
-                    edge[at + window] -= 1
+                    at = np.frombuffer(places, dtype="<i4")
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + window, -1)
                     stay = np.cumsum(edge[:-1]) == 0
                     words = list(compress(words, stay.tolist()))
                 n_removed.append(n_words[-1] - len(words))
@@ -259,6 +290,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counts as the smallest and comes back null. An empty table gives no rows.
     """
     held = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id_"), F.col(text_col).alias("text"))
-    found = repeated_windows(held, window).groupBy("id_").agg(F.collect_list("pos").alias("places"))
-    out = _finish(held.join(found, "id_", "left").select("id_", "text", "places"), window, with_text)
+    out = _finish(held.join(repeated_windows(held, window), "id_", "left").select("id_", "text", "places"), window, with_text)
     return out.select(F.when(F.col("id_") != F.lit(NO_ID), F.col("id_")).alias(id_col), *out.columns[1:])
