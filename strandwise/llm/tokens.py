@@ -19,17 +19,20 @@ from pyspark.sql import functions as F
 from strandwise.llm.cluster import NO_ID, bucket_of, cut, key_bounds, partitions
 from strandwise.llm.huffman import Code, bit_limit, code_lengths, read_block, write_block
 
-CACHE = 400_000
+PIECES, CORES = 400_000, 800_000
 BLOCK = 1 << 20
+TAIL = ".,!?:;*#$%&|"
 _STATE: dict[str, tuple] = {}
 
 
 class Encoder:
     """A tokenizer with a memory of the pieces between spaces and line feeds.
 
-    For tokenizers that normalise white space away and never join text across it (as word_bpe_49k)
-    the ids of a text are those of its pieces one after another. New pieces of a batch are encoded
-    together by the library; the memory holds ``CACHE`` pieces and starts again when it is full.
+    For tokenizers that normalise case and white space away and cut words from punctuation (as
+    word_bpe_49k) the ids of a text are those of its pieces one after another, and those of a word
+    with punctuation behind it are the word's and then the punctuation's. So only words that are
+    new to the worker go through the library, a batch at a time. ``PIECES`` and ``CORES`` bound the
+    memory; a full one starts again.
     """
 
     def __init__(self, path: str):
@@ -39,18 +42,38 @@ class Encoder:
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = "<u2" if self.vocab <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+
+    def _library(self, new: list[str], into: dict[str, bytes]) -> None:
+        for k in range(0, len(new), 4096):
+            part = new[k : k + 4096]
+            for piece, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                into[piece] = np.array(got.ids, dtype=self.dtype).tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        if len(self.cores) + len(new) > CORES:
+            self.cores.clear()
+        split, other = [], []
+        for piece in new:
+            core = piece.rstrip(TAIL)
+            if core.isalpha():
+                split.append((piece, core.lower() if core.isascii() else core, piece[len(core) :]))
+            else:
+                other.append(piece)
+        cores = self.cores
+        self._library([x for x in {c for _, c, _ in split} | {t for _, _, t in split} if x not in cores], cores)
+        for piece, core, tail in split:
+            self.known[piece] = cores[core] + cores[tail]
+        self._library(other, self.known)
 
     def encode(self, docs: list[str]) -> list[bytes]:
         """The packed ids (dtype) of each text."""
         pieces = [d.replace("\n", " ").split(" ") for d in docs]
-        new = list(set().union(*pieces).difference(self.known)) if pieces else []
-        if len(self.known) + len(new) > CACHE:
+        new = set().union(*pieces).difference(self.known) if pieces else set()
+        if len(self.known) + len(new) > PIECES:
             self.known.clear()
-            new = list(set().union(*pieces))
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for piece, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(got.ids, dtype=self.dtype).tobytes()
+            new = set().union(*pieces)
+        self._learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
 
