@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from strandwise.llm.cluster import shared_dir
+from strandwise.llm.decontaminate import contaminated
+from strandwise.llm.fingerprint import edited_fingerprints
 from strandwise.llm.simhash import hex_print, near_duplicates
 from strandwise.llm.substring import remove_repeats
 from strandwise.llm.tokens import read_corpus, write_corpus
+from strandwise.llm.toxicity import fit, score
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -29,15 +32,31 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex_print("fp").alias("fingerprint"), "component_id")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_decontamination": op5_decontamination,
+    "op6_fingerprints": op6_fingerprints,
     "op8_simhash": op8_simhash,
+    "op9_toxicity": op9_toxicity,
 }
 
 #: DuckDB SQL for the rows of the queries that SQL can express.
