@@ -9,13 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandwise.llm.cluster import shared_dir
 from strandwise.llm.decontaminate import contaminated
+from strandwise.llm import pseudo
+from strandwise.llm.edits import recount, with_sample_edits
 from strandwise.llm.fingerprint import edited_fingerprints
+from strandwise.llm.mixing import mixed
 from strandwise.llm.simhash import hex_print, near_duplicates
 from strandwise.llm.substring import remove_repeats
 from strandwise.llm.tokens import read_corpus, write_corpus
 from strandwise.llm.toxicity import fit, score
+from strandwise.llm.warc import derivatives, responses
 
 WORD_BPE = "word_bpe_49k.json"
+BYTE_BPE = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +33,18 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_corpus(spark, path, with_ids=False)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recount(with_sample_edits(table(spark, sf_dir, "documents")), public_tokenizers.path(BYTE_BPE))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,6 +53,11 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pseudo.score(docs, pseudo.fit(docs))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex_print("fp").alias("fingerprint"), "component_id")
@@ -50,13 +68,21 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derivatives(responses(table(spark, sf_dir, "pages"))).drop("metadata", "conversion")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op2_mixing": op2_mixing,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_token_counts": op4_token_counts,
     "op5_decontamination": op5_decontamination,
     "op6_fingerprints": op6_fingerprints,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
+    "op10_warc": op10_warc,
 }
 
 #: DuckDB SQL for the rows of the queries that SQL can express.

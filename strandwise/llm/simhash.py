@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.llm.cluster import NO_ID, components, cut, partitions
-from strandwise.llm.text import LOWER, Words, slices, texts
+from strandwise.llm.text import LOWER, Words, mix, slices, texts, window_hashes
 
 RADIUS = 3
 SEGMENTS, SEGMENT_BITS = 4, 16
@@ -188,3 +188,129 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def hex_print(column: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
+
+
+# --- documents of a given similarity ------------------------------------------------------------
+
+WIDE = 4
+WIDE_KEY_BITS, WIDE_KEY_STEP = 16, 8
+
+
+def wide_prints(docs: list[bytes], shingle: int = 5) -> np.ndarray:
+    """(texts, WIDE) uint64: fingerprints of 64 * WIDE bits over word shingles in lower case (A-Z)."""
+    words = Words(docs, table=LOWER)
+    one, counts = words.hashes(), words.counts()
+    out = np.zeros((len(docs), WIDE), dtype=np.uint64)
+    for length in range(1, shingle + 1):  # fewer words than a shingle: the whole sequence
+        own = np.flatnonzero(counts == length) if length < shingle else np.flatnonzero(counts >= shingle)
+        if not len(own):
+            continue
+        h = window_hashes(one, length)
+        n = counts[own] - length + 1
+        low = np.concatenate([[0], np.cumsum(n)])
+        at = np.arange(low[-1]) - np.repeat(low[:-1] - words.first[own], n)
+        for a, b in slices((n * 64).tolist(), 8 << 20):
+            for k in range(WIDE):
+                x = mix(h[at[low[a] : low[b]]] + np.uint64(k * 0x632BE59BD9B4E019 & (1 << 64) - 1)).astype(">u8")
+                sums = np.add.reduceat(np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1), low[a:b] - low[a], axis=0, dtype=np.int32)
+                out[own[a:b], k] = np.packbits(2 * sums > n[a:b, None], axis=1).view(">u8")[:, 0]
+    return out
+
+
+def radius_of(similarity: float, bits: int = 64 * WIDE, slack: float = 1.2) -> int:
+    """Bits in which the fingerprints of two sets of that resemblance differ: the angle between
+    them over pi, and ``slack`` times that to cover its spread."""
+    return int(slack * bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def _near(prints: np.ndarray, radius: int) -> np.ndarray:
+    """Which pairs lie within the radius: ring chains over the fingerprint's words prune first."""
+    n = len(prints)
+    d = np.stack([np.bitwise_count(prints[:, None, k] ^ prints[None, :, k]) for k in range(WIDE)]).astype(np.int16)
+    ring = np.zeros((n, n), dtype=bool)
+    for i in range(WIDE):
+        total, held = np.zeros((n, n), dtype=np.int16), np.ones((n, n), dtype=bool)
+        for step in range(WIDE):
+            total = total + d[(i + step) % WIDE]
+            held &= total <= radius * (step + 1) // WIDE
+        ring |= held
+    return ring & (d.sum(axis=0) <= radius)
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, block: int = BLOCK) -> DataFrame:
+    """(id, component_id) of every row: documents whose word shingles resemble each other by about
+    ``similarity`` or more are linked, by fingerprints of 256 bits.
+
+    At that distance no segment need be equal, so candidates are found by any of 31 segments of 16
+    bits that is: a pair at 0.8 has one with a probability of about 0.85, at 0.9 of 0.99. Rows with
+    equal fingerprints are linked without being paired. Keys that hold more than ``block``
+    fingerprints are dealt over pairs of blocks. Texts without words are linked with each other
+    only. Null texts, null, equal and clashing columns as in near_duplicates.
+    """
+    spark, radius = docs.sparkSession, radius_of(similarity)
+    held = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id_"), F.col(text_col).alias("text"))
+
+    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs_ = texts(batch.column(1))
+            for a, b in slices([len(d) for d in docs_]):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in wide_prints(docs_[a:b], shingle)], pa.binary())], names=["id_", "fp"])
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        offsets = range(0, 64 * WIDE - WIDE_KEY_BITS + 1, WIDE_KEY_STEP)
+        for batch in batches:
+            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u8").reshape(-1, WIDE)
+            bits = raw.astype(">u8").view(np.uint8).reshape(len(raw), -1).astype(np.int64)
+            keys = [(np.int64(k) << 16) | (bits[:, o // 8] << 8) | bits[:, o // 8 + 1] for k, o in enumerate(offsets)]
+            ids, fp = batch.column(0), batch.column(1)
+            for key in keys:
+                yield pa.RecordBatch.from_arrays([pa.array(key), ids, fp], names=["k", "v", "fp"])
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of(group: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+            v = np.array([g[0] for g in group], dtype=np.int64)
+            near = _near(np.frombuffer(b"".join(g[1] for g in group), dtype="<u8").reshape(-1, WIDE), radius)
+            label = np.arange(len(v))
+            while True:
+                new = np.minimum(label, np.where(near, label[None, :], len(v)).min(axis=1))
+                new = new[new]
+                if (new == label).all():
+                    break
+                label = new
+            leaf = np.flatnonzero(label != np.arange(len(v)))
+            return v[leaf], v[label[leaf]]
+
+        now, group = None, []
+        for batch in batches:
+            found = []
+            for k, x, y, v, fp in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                if (k, x, y) != now:
+                    if len(group) > 1:
+                        found.append(of(group))
+                    now, group = (k, x, y), []
+                group.append((v, fp))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[c] for f in found])) for c in (0, 1)], names=["a", "b"])
+        if len(group) > 1:
+            a, b = of(group)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    prints = cut(held.mapInArrow(prints_of, "id_ bigint, fp binary"))
+    own = prints.groupBy("fp").agg(F.min("id_").alias("v"))
+    rows = own.where(F.col("fp") != F.lit(bytes(8 * WIDE))).select("v", "fp").mapInArrow(keys_of, "k bigint, v bigint, fp binary")
+    full = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    rows = rows.join(full, "k").withColumn("m", F.ceil(F.col("n") / block).cast("int")).withColumn("r", F.pmod(F.xxhash64("v"), F.col("m")).cast("int"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("k", F.least("r", "j").alias("x"), F.greatest("r", "j").alias("y"), "v", "fp")
+    dealt = rows.repartition(partitions(spark), "k", "x", "y").sortWithinPartitions("k", "x", "y")
+    stars = components(dealt.mapInArrow(links, "a bigint, b bigint"))
+    named = own.join(stars, "v", "left").select("fp", F.coalesce("label", "v").alias("component_id"))
+    back = lambda c: F.when(F.col(c) != F.lit(NO_ID), F.col(c))
+    return prints.join(named, "fp").select(back("id_").alias(id_col), back("component_id").alias("component_id"))
+
+
+def without_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group of near copies: the one with the smallest id. Rows that
+    share an id are one document; those with a null id stay."""
+    found = near_copies(docs, similarity, id_col, text_col)
+    gone = found.where(F.col(id_col) != F.coalesce(F.col("component_id"), F.lit(NO_ID))).select(F.col(id_col).alias("gone_")).distinct()
+    return docs.join(gone, docs[id_col].cast("bigint") == F.col("gone_"), "left_anti")

@@ -214,3 +214,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     out = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` bigint, score double, predicted int")
     return out.select(id_col, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text isn't predicted to be toxic, with all their columns."""
+    held, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(held.value.scores(texts(batch.column(place))) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
