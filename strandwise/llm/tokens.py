@@ -18,21 +18,52 @@ from pyspark.sql import functions as F
 
 from strandwise.llm.cluster import NO_ID, bucket_of, cut, key_bounds, partitions
 from strandwise.llm.huffman import Code, bit_limit, code_lengths, read_block, write_block
+from strandwise.llm.text import LOWER, parts, slices, span_hashes, texts
 
-PIECES, CORES = 400_000, 800_000
+KNOWN = 3_000_000
 BLOCK = 1 << 20
-TAIL = ".,!?:;*#$%&|"
 _STATE: dict[str, tuple] = {}
 
+#: 0 separates; 1 may stand in a word; 2 is other ASCII; 3 leaves the cut to the library.
+_CLASS = np.full(256, 3, dtype=np.int8)
+_CLASS[33:127] = 2
+_CLASS[[b for b in range(128) if chr(b).isalpha()] + [ord("'"), 0xC3]] = 1
+_CLASS[ord("<")] = 3
+_CLASS[[0x20, 0x09, 0x0A, 0x0D]] = 0
+
+
+def spans_of(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of stretches whose tokens don't depend on what stands beside them: words
+    (ASCII and Latin-1 letters, apostrophes) and runs of other ASCII. A stretch between separators
+    that holds anything else (other alphabets, marks, controls, a special token's bracket) is one."""
+    kind = _CLASS[buf]
+    after = np.flatnonzero(buf[:-1] == 0xC3) + 1
+    kind[after] = np.where((buf[after] == 0x97) | (buf[after] == 0xB7), 3, 1)
+    quote = np.flatnonzero(buf == 0x27)  # between two letters it is of the word, else the library cuts
+    if len(quote):
+        beside = (kind == 1) & (buf != 0x27)
+        kind[quote] = np.where(beside[quote - 1] & beside[np.minimum(quote + 1, len(buf) - 1)] & (quote > 0), 1, 3)
+    if (kind == 3).any():
+        edge = np.flatnonzero(np.diff(kind != 0, prepend=False, append=False))
+        low, high = edge[0::2], edge[1::2]
+        seen = np.concatenate([[0], np.cumsum(kind == 3)])
+        odd = seen[high] > seen[low]
+        mark = np.zeros(len(buf) + 1, dtype=np.int8)
+        mark[low[odd]] += 1
+        mark[high[odd]] -= 1
+        kind[np.cumsum(mark[:-1]).astype(bool)] = 4
+    edge = np.concatenate([[0], np.flatnonzero(kind[1:] != kind[:-1]) + 1, [len(buf)]])
+    full = kind[edge[:-1]] != 0
+    return edge[:-1][full], edge[1:][full]
+
 
 class Encoder:
-    """A tokenizer with a memory of the pieces between spaces and line feeds.
+    """A tokenizer with a memory of the spans it has met.
 
     For tokenizers that normalise case and white space away and cut words from punctuation (as
-    word_bpe_49k) the ids of a text are those of its pieces one after another, and those of a word
-    with punctuation behind it are the word's and then the punctuation's. So only words that are
-    new to the worker go through the library, a batch at a time. ``PIECES`` and ``CORES`` bound the
-    memory; a full one starts again.
+    word_bpe_49k) the ids of a text are those of its spans one after another. Spans are looked up
+    by a 64-bit hash in arrays; only those that are new to the worker go through the library, a
+    batch at a time. The memory holds ``KNOWN`` spans (about 30 bytes each) and then starts again.
     """
 
     def __init__(self, path: str):
@@ -41,41 +72,43 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = "<u2" if self.vocab <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-
-    def _library(self, new: list[str], into: dict[str, bytes]) -> None:
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for piece, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                into[piece] = np.array(got.ids, dtype=self.dtype).tobytes()
-
-    def _learn(self, new: set[str]) -> None:
-        if len(self.cores) + len(new) > CORES:
-            self.cores.clear()
-        split, other = [], []
-        for piece in new:
-            core = piece.rstrip(TAIL)
-            if core.isalpha():
-                split.append((piece, core.lower() if core.isascii() else core, piece[len(core) :]))
-            else:
-                other.append(piece)
-        cores = self.cores
-        self._library([x for x in {c for _, c, _ in split} | {t for _, _, t in split} if x not in cores], cores)
-        for piece, core, tail in split:
-            self.known[piece] = cores[core] + cores[tail]
-        self._library(other, self.known)
-
-    def encode(self, docs: list[str]) -> list[bytes]:
-        """The packed ids (dtype) of each text."""
-        pieces = [d.replace("\n", " ").split(" ") for d in docs]
-        new = set().union(*pieces).difference(self.known) if pieces else set()
-        if len(self.known) + len(new) > PIECES:
-            self.known.clear()
-            new = set().union(*pieces)
-        self._learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.low, self.size = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        self.ids = np.zeros(0, dtype=self.dtype)
+
+    def _learn(self, keys: np.ndarray, spans: list[str]) -> None:
+        """Adds spans under their (ascending) keys."""
+        found: list[list[int]] = []
+        for k in range(0, len(spans), 4096):
+            found += [got.ids for got in self.tokenizer.encode_batch_fast(spans[k : k + 4096], add_special_tokens=False)]
+        size = np.array([len(x) for x in found], dtype=np.int32)
+        low = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], dtype=self.dtype)])
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.low, self.size = np.insert(self.keys, at, keys), np.insert(self.low, at, low), np.insert(self.size, at, size)
+
+    def encode(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts (UTF-8), one after another, and how many each text has."""
+        buf = np.frombuffer(b"\n".join(docs) + b"\n", dtype=np.uint8)
+        start, end = spans_of(buf)
+        keys, first, place = np.unique(span_hashes(LOWER[buf], start, end), return_index=True, return_inverse=True)
+        if len(self.keys) + len(keys) > KNOWN:
+            self._clear()
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), dtype=bool)
+        there = at < len(self.keys)
+        new[there] = self.keys[at[there]] != keys[there]
+        if new.any():
+            raw = buf.tobytes()
+            self._learn(keys[new], [raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.keys, keys)
+        size = self.size[at][place].astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(self.low[at][place] - total[:-1], size) + np.arange(total[-1])]
+        bounds = np.cumsum([0] + [len(d) + 1 for d in docs])
+        return ids, np.diff(total[np.searchsorted(start, bounds)])
 
 
 def encoder(path: str) -> Encoder:
@@ -94,11 +127,13 @@ def encode_texts(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                ids = [x + end for x in enc.encode([t or "" for t in part.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["id_", "ids"])
+        for batch in parts(batches):
+            docs_ = texts(batch.column(1))
+            for a, b in slices([len(d) for d in docs_]):
+                ids, n = enc.encode(docs_[a:b])
+                edge = np.concatenate([[0], np.cumsum(n)])
+                packed = [ids[x:y].tobytes() + end for x, y in zip(edge[:-1], edge[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(packed, pa.binary())], names=["id_", "ids"])
 
     return docs.mapInArrow(run, "id_ bigint, ids binary")
 
@@ -164,9 +199,9 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
         if n:
             yield close()
 
-    parts = len(bounds) + 1
+    n_parts = len(bounds) + 1
     rows = ids.select(bucket_of("id_", bounds).alias("part"), "id_", "ids")
-    rows = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "id_", "ids")
+    rows = rows.repartitionById(n_parts, F.col("part")).sortWithinPartitions("part", "id_", "ids")
     rows.mapInArrow(run, "part int, block bigint, first_id bigint, n_docs bigint, n_tokens bigint, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
