@@ -33,6 +33,13 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in binary(column).to_pylist()]
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches cut to a number of rows, so that few texts are held as Python objects at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def slices(sizes: list[int], limit: int = SLICE) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive texts of about ``limit`` bytes together (one text at least)."""
     low, held = 0, 0
