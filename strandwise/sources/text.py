@@ -42,7 +42,7 @@ def write_fasta(mol: DataFrame, path: str) -> None:
 def read_fastq(spark: SparkSession, path: str, offset: int = 33) -> DataFrame:
     """name, description, bases, quality (array), error. Four-line records; a file is read whole by
     one task because a quality line may begin with the mark of a name."""
-    files = spark.read.option("wholetext", "true").text(path)
+    files = spark.read.text(path, wholetext=True)
     lines = F.filter(F.split(F.regexp_replace("value", "\r", ""), "\n"), lambda x: x.isNotNull())
     rows = files.select(S.let(lines, lambda v: F.transform(S.positions(F.floor((F.size(v) + 3) / 4).cast("int")), lambda i: F.slice(v, i * 4 + 1, 4))).alias("r")).select(F.explode("r").alias("r")).where("size(r) > 1 OR trim(r[0]) <> ''")
     at = lambda k: F.coalesce(F.get("r", F.lit(k)), F.lit(""))
