@@ -37,6 +37,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that none of the columns has."""
+    held = {c.lower() for c in columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared store through Spark's own file system."""
     jvm = spark.sparkContext._jvm

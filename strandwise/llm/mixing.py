@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.llm.cluster import NO_ID, cut
+from strandwise.llm.cluster import NO_ID, cut, fresh
 
 MARGINS = ("source", "lang", "topic")
 ALPHA = 0.85
@@ -27,25 +27,22 @@ DRIVER_CELLS = 100_000
 NONE = "(none)"
 
 
-def count_of(text: Column, characters: str) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, characters, ""))
-
-
 def topic_of(text: Column) -> Column:
     """A document's kind, told by its layout: table, symbols, capitals, lines or prose."""
     size = F.char_length(text) + 1
+    count = lambda rule: F.regexp_count(text, F.lit(rule))
     return (
-        F.when(count_of(text, "|") * 20 > size, "table")
-        .when(count_of(text, "#$%&*") * 20 > size, "symbols")
-        .when(count_of(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ") * 3 > size, "capitals")
-        .when(count_of(text, "\n") * 40 > size, "lines")
+        F.when(count(r"\|") * 20 > size, "table")
+        .when(count("[#$%&*]") * 20 > size, "symbols")
+        .when(count("[A-Z]") * 3 > size, "capitals")
+        .when(count("\n") * 40 > size, "lines")
         .otherwise("prose")
     )
 
 
 def token_estimate(text: Column) -> Column:
     """Tokens of a text as its words: runs of other than spaces, tabs and line ends."""
-    return F.size(F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "")).cast("bigint")
+    return F.regexp_count(text, F.lit(r"[^ \t-\r]+")).cast("bigint")
 
 
 def tempered(sums: Mapping[str, float], alpha: float = ALPHA) -> dict[str, float]:
@@ -175,6 +172,7 @@ def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     empty table gives no rows. Columns other than source, lang, id and text are not read.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id_"), *_margins(text_col), token_estimate(F.coalesce(F.col(text_col), F.lit(""))).alias("n_tokens"))
+    rows = cut(rows)  # a few bytes a row, so that the texts are read once
     table = _calibrated(rows, targets, budget, alpha, rounds, driver_cells)
     out = rows.join(table, list(MARGINS))
     return out.select(F.col("id_").alias(id_col), *MARGINS, "n_tokens", "weight", "probability", (_draw("id_", seed) < F.col("probability")).alias("kept"))
@@ -183,7 +181,9 @@ def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
 def sample(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", seed: int = 11, rounds: int = ROUNDS, driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """The rows of docs that ``mixed`` keeps, with their own columns and without moving a text."""
     rows = docs.select(*_margins(text_col), token_estimate(F.coalesce(F.col(text_col), F.lit(""))).alias("n_tokens"))
-    table = _calibrated(rows, targets, budget, alpha, rounds, driver_cells).select(*(F.col(m).alias(f"mix_{m}_") for m in MARGINS), F.col("probability").alias("mix_p_"))
-    place = docs.select("*", F.struct(*_margins(text_col)).alias("mix_"))
-    same = [F.col(f"mix_.{m}") == F.col(f"mix_{m}_") for m in MARGINS]
-    return place.join(table, same[0] & same[1] & same[2]).where(_draw(id_col, seed) < F.col("mix_p_")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    table = _calibrated(rows, targets, budget, alpha, rounds, driver_cells)
+    names = [fresh(docs.columns, f"mix_{m}") for m in MARGINS]
+    p = fresh(docs.columns, "mix_probability")
+    place = docs.select("*", *(c.alias(n) for c, n in zip(_margins(text_col), names, strict=True)))
+    joined = place.join(table.select(*(F.col(m).alias(n) for m, n in zip(MARGINS, names, strict=True)), F.col("probability").alias(p)), names)
+    return joined.where(_draw(id_col, seed) < F.col(p)).select(*(F.col(f"`{c}`") for c in docs.columns))
