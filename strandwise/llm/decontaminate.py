@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.llm.cluster import let
+from strandwise.llm.cluster import fresh, let
 
 WINDOW = 8
 COVERAGE = 0.5
@@ -102,5 +102,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without those that ``contaminated`` names; documents with a null id stay."""
-    found = contaminated(docs, benchmark, id_col, **options).select(F.col(id_col).alias("found_")).distinct()
-    return docs.join(found, docs[id_col].cast("bigint") == F.col("found_"), "left_anti")
+    name = fresh(docs.columns, "found")
+    found = contaminated(docs, benchmark, id_col, **options).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(found, docs[id_col].cast("bigint") == F.col(name), "left_anti")

@@ -26,7 +26,7 @@ def word_hashes(text: Column) -> Column:
 def sketch_of(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
     """The ascending distinct retained hashes. Fewer words than a shingle: one shingle of all of
     them; none: an empty sketch."""
-    most = -(1 << 63) + (1 << 64) // scale
+    most = -(1 << 63) + (1 << 64) // scale - 1
 
     def shingles(h: Column) -> Column:
         at = lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(shingle)))
@@ -35,7 +35,7 @@ def sketch_of(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Colum
 
     def retained(s: Column) -> Column:
         least = F.when(F.size(s) > 0, F.array(F.array_min(s))).otherwise(s)
-        return let(F.filter(s, lambda x: x < F.lit(most)), lambda k: F.when(F.size(k) > 0, F.array_sort(F.array_distinct(k))).otherwise(least))
+        return let(F.filter(s, lambda x: x <= F.lit(most)), lambda k: F.when(F.size(k) > 0, F.array_sort(F.array_distinct(k))).otherwise(least))
 
     return let(let(word_hashes(text), shingles), retained)
 

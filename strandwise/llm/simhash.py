@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.llm.cluster import NO_ID, components, cut, partitions
+from strandwise.llm.cluster import NO_ID, components, cut, fresh, partitions
 from strandwise.llm.text import LOWER, Words, mix, slices, texts, window_hashes
 
 RADIUS = 3
@@ -311,6 +311,6 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
 def without_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of near copies: the one with the smallest id. Rows that
     share an id are one document; those with a null id stay."""
-    found = near_copies(docs, similarity, id_col, text_col)
-    gone = found.where(F.col(id_col) != F.coalesce(F.col("component_id"), F.lit(NO_ID))).select(F.col(id_col).alias("gone_")).distinct()
-    return docs.join(gone, docs[id_col].cast("bigint") == F.col("gone_"), "left_anti")
+    found, name = near_copies(docs, similarity, id_col, text_col), fresh(docs.columns, "gone")
+    gone = found.where(F.col(id_col) != F.coalesce(F.col("component_id"), F.lit(NO_ID))).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(gone, docs[id_col].cast("bigint") == F.col(name), "left_anti")
