@@ -86,4 +86,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the rows of the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM d),
+        win AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 20], ' ') AS s FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 19, 0))) AS i FROM d)),
+        firsts AS (SELECT s, min((doc_id, i)) AS m FROM win GROUP BY s HAVING count(*) > 1),
+        covered AS (SELECT DISTINCT doc_id, i + j AS p FROM win JOIN firsts USING (s), range(20) r(j) WHERE (doc_id, i) > m),
+        kept AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM words w ANTI JOIN covered USING (doc_id, p) GROUP BY 1)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
+}
