@@ -226,3 +226,27 @@ def genetic_codes(spark: SparkSession) -> DataFrame:
     """(table_id, codon, aa, is_start)."""
     rows = [(i, c, a, s == "M") for i, _, aas, starts in GENETIC_CODES for c, a, s in zip(CODONS, aas, starts, strict=True)]
     return spark.createDataFrame(rows, "table_id int, codon string, aa string, is_start boolean")
+
+# --- fixed values: average residue masses (Da), water, absorptivities at 280 nm ------------------
+
+RESIDUE_MASS = {
+    "A": 71.0788, "R": 156.1875, "N": 114.1038, "D": 115.0886, "C": 103.1388, "E": 129.1155, "Q": 128.1307,
+    "G": 57.0519, "H": 137.1411, "I": 113.1594, "L": 113.1594, "K": 128.1741, "M": 131.1926, "F": 147.1766,
+    "P": 97.1167, "S": 87.0782, "T": 101.1051, "W": 186.2132, "Y": 163.176, "V": 99.1326,
+    "U": 150.0379, "O": 237.2982, "J": 113.1594, "B": 114.5962, "Z": 128.6231, "X": 110.0,
+}
+WATER = 18.01524
+ABSORB_W, ABSORB_Y, ABSORB_CYSTINE = 5500, 1490, 125
+POSITIVE_PK = {"K": 10.0, "R": 12.0, "H": 5.98}
+NEGATIVE_PK = {"D": 4.05, "E": 4.45, "C": 9.0, "Y": 10.0}
+N_TERMINAL_PK = {"A": 7.59, "M": 7.0, "S": 6.93, "P": 8.36, "T": 6.82, "V": 7.44, "E": 7.7}
+N_TERMINAL_DEFAULT, C_TERMINAL_PK = 7.5, 3.55
+
+# --- fixed values: guide mismatch weights, from the spacer's 5' end -------------------------------
+
+MIT_WEIGHTS = [0, 0, 0.014, 0, 0, 0.395, 0.317, 0, 0.389, 0.079, 0.445, 0.508, 0.613, 0.851, 0.732, 0.828, 0.615, 0.804, 0.685, 0.583]
+
+# --- fixed values: nucleases (name, PAM, PAM side, spacer length, cut on either strand) -----------
+
+NUCLEASES = [("SpCas9", "NGG", "3prime", 20, 17, 17), ("SaCas9", "NNGRRT", "3prime", 21, 18, 18), ("AsCas12a", "TTTV", "5prime", 23, 18, 23)]
+DEGENERATE_CODONS = ["NNK", "NNS", "NNN", "NDT"]

@@ -5,7 +5,7 @@ import decimal
 import duckdb
 import pytest
 
-from strandwise.plans import algorithms, features, reading, records, sequence  # noqa: F401
+from strandwise.plans import algorithms, design, features, reading, records, sequence  # noqa: F401
 from strandwise.plans.registry import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
