@@ -108,22 +108,35 @@ def guides(mol: DataFrame, pam: str = "NGG", spacer: int = 20) -> DataFrame:
     return g.select("seq_id", F.col("g.strand").alias("strand"), start.cast("int").alias("start"), s.alias("spacer"), F.substring("g.text", spacer + 1, len(pam)).alias("pam"), (F.length(s) - F.length(F.translate(s, "GC", ""))).alias("gc"))
 
 
-def off_targets(query: DataFrame, background: DataFrame, mismatches: int = 3, seeds: int = 4) -> DataFrame:
-    """(spacer, n): places of the background whose spacer differs in at most ``mismatches`` places.
+def packed(spacer: Column) -> Column:
+    """Bases of a plain sequence of up to 31 as two bits each of a bigint."""
+    return F.conv(F.translate(spacer, "ACGT", "0123"), 4, 10).cast("bigint")
+
+
+def near_spacers(query: DataFrame, background: DataFrame, mismatches: int = 3, size: int = 20) -> DataFrame:
+    """(spacer, other, copies, apart): distinct spacers of the background, and how often each occurs,
+    that differ from a query spacer in at most ``mismatches`` places.
 
     Pigeonhole: of mismatches + 1 pieces one is equal, so candidates are an equi-join on (piece
-    number, piece); a pair is counted in its first equal piece only.
+    number, piece), compared as packed integers; a pair is kept in its first equal piece only.
     """
-    if seeds <= mismatches:
-        raise ValueError("seeds must exceed mismatches")
-    cut = lambda c, k: F.substring(F.col(c), k * 20 // seeds + 1, (k + 1) * 20 // seeds - k * 20 // seeds)
-    piece = lambda c: F.explode(F.array(*[F.struct(F.lit(k).alias("k"), cut(c, k).alias("word")) for k in range(seeds)])).alias("p")
-    q = query.select("spacer").distinct().select("spacer", piece("spacer")).select("spacer", "p.k", "p.word")
-    b = background.groupBy("spacer").agg(F.count("*").alias("copies")).select(F.col("spacer").alias("other"), "copies", piece("spacer")).select("other", "copies", "p.k", "p.word")
-    same = [cut("spacer", k) == cut("other", k) for k in range(seeds)]
-    first = F.coalesce(*[F.when(c, F.lit(k)) for k, c in enumerate(same)])
-    apart = F.size(F.filter(F.zip_with(F.split("spacer", ""), F.split("other", ""), lambda x, y: x != y), lambda d: d))
-    return q.join(b, ["k", "word"]).where((first == F.col("k")) & (apart <= mismatches)).groupBy("spacer").agg(F.sum("copies").alias("n"))
+    seeds = mismatches + 1
+    bounds = [(k * size // seeds, (k + 1) * size // seeds) for k in range(seeds)]
+    field = lambda x, lo, hi: F.shiftright(x, 2 * (size - hi)).bitwiseAND(F.lit((1 << 2 * (hi - lo)) - 1))
+    pieces = lambda x: F.explode(F.array(*[F.struct(F.lit(k).alias("k"), field(x, lo, hi).alias("word")) for k, (lo, hi) in enumerate(bounds)])).alias("p")
+    q = query.select("spacer").distinct().withColumn("x", packed(F.col("spacer")))
+    b = background.groupBy(F.col("spacer").alias("other")).agg(F.count("*").alias("copies")).withColumn("y", packed(F.col("other")))
+    q = q.select("spacer", "x", pieces(F.col("x"))).select("spacer", "x", "p.k", "p.word")
+    b = b.select("other", "copies", "y", pieces(F.col("y"))).select("other", "copies", "y", "p.k", "p.word")
+    xor = F.col("x").bitwiseXOR(F.col("y"))
+    apart = F.bit_count(xor.bitwiseOR(F.shiftright(xor, 1)).bitwiseAND(F.lit(int("01" * size, 2))))
+    first = F.coalesce(*[F.when(field(xor, lo, hi) == 0, F.lit(k)) for k, (lo, hi) in enumerate(bounds)])
+    return q.join(b, ["k", "word"]).where((apart <= mismatches) & (first == F.col("k"))).select("spacer", "other", "copies", apart.alias("apart"))
+
+
+def off_targets(query: DataFrame, background: DataFrame, mismatches: int = 3) -> DataFrame:
+    """(spacer, n): places of the background within the mismatches."""
+    return near_spacers(query, background, mismatches).groupBy("spacer").agg(F.sum("copies").alias("n"))
 
 
 def kmers(mol: DataFrame, k: int) -> DataFrame:
