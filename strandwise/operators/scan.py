@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,21 +119,25 @@ def near_spacers(query: DataFrame, background: DataFrame, mismatches: int = 3, s
     """(spacer, other, copies, apart): distinct spacers of the background, and how often each occurs,
     that differ from a query spacer in at most ``mismatches`` places.
 
-    Pigeonhole: of mismatches + 1 pieces one is equal, so candidates are an equi-join on (piece
-    number, piece), compared as packed integers; a pair is kept in its first equal piece only.
+    Pigeonhole: cut into mismatches + 3 pieces, three of them are equal, so candidates are an
+    equi-join on (which three, their bases), about half a spacer, compared as packed integers; a
+    pair is kept under its first three equal pieces only.
     """
-    seeds = mismatches + 1
-    bounds = [(k * size // seeds, (k + 1) * size // seeds) for k in range(seeds)]
-    field = lambda x, lo, hi: F.shiftright(x, 2 * (size - hi)).bitwiseAND(F.lit((1 << 2 * (hi - lo)) - 1))
-    pieces = lambda x: F.explode(F.array(*[F.struct(F.lit(k).alias("k"), field(x, lo, hi).alias("word")) for k, (lo, hi) in enumerate(bounds)])).alias("p")
+    pieces = mismatches + 3
+    bounds = [(k * size // pieces, (k + 1) * size // pieces) for k in range(pieces)]
+    combos = list(combinations(range(pieces), 3))
+    mask = lambda ks: sum(((1 << 2 * (bounds[k][1] - bounds[k][0])) - 1) << 2 * (size - bounds[k][1]) for k in ks)
+    keys = lambda x: F.explode(F.array(*[F.struct(F.lit(n).alias("k"), x.bitwiseAND(F.lit(mask(c))).alias("word")) for n, c in enumerate(combos)])).alias("p")
     q = query.select("spacer").distinct().withColumn("x", packed(F.col("spacer")))
     b = background.groupBy(F.col("spacer").alias("other")).agg(F.count("*").alias("copies")).withColumn("y", packed(F.col("other")))
-    q = q.select("spacer", "x", pieces(F.col("x"))).select("spacer", "x", "p.k", "p.word")
-    b = b.select("other", "copies", "y", pieces(F.col("y"))).select("other", "copies", "y", "p.k", "p.word")
+    q = q.select("spacer", "x", keys(F.col("x"))).select("spacer", "x", "p.k", "p.word")
+    b = b.select("other", "copies", "y", keys(F.col("y"))).select("other", "copies", "y", "p.k", "p.word")
     xor = F.col("x").bitwiseXOR(F.col("y"))
     apart = F.bit_count(xor.bitwiseOR(F.shiftright(xor, 1)).bitwiseAND(F.lit(int("01" * size, 2))))
-    first = F.coalesce(*[F.when(field(xor, lo, hi) == 0, F.lit(k)) for k, (lo, hi) in enumerate(bounds)])
-    return q.join(b, ["k", "word"]).where((apart <= mismatches) & (first == F.col("k"))).select("spacer", "other", "copies", apart.alias("apart"))
+    # no equal piece before the last of the three but those three themselves
+    earlier = F.array(*[F.array(*[F.lit(mask([k])) for k in range(c[2]) if k not in c]).cast("array<bigint>") for c in combos])
+    first = F.forall(F.get(earlier, F.col("k")), lambda m: xor.bitwiseAND(m) != 0)
+    return q.join(b, ["k", "word"]).where(apart <= mismatches).where(first).select("spacer", "other", "copies", apart.alias("apart"))
 
 
 def off_targets(query: DataFrame, background: DataFrame, mismatches: int = 3) -> DataFrame:
