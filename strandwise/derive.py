@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """The driver's tables are single small files; what is made from a row is large, so the rows are
+    dealt over all cores first (by key, as most operators group by it)."""
+    return df.repartition(max(8, df.sparkSession.sparkContext.defaultParallelism), key)
+
+
 def _bases(key, blocks: int, letters: str):
     parts = [F.md5(F.concat(key.cast("string"), F.lit(f"|{k}"))) for k in range(blocks)]
     return F.translate(F.concat(*parts), "0123456789abcdef", letters)
@@ -26,7 +32,7 @@ PLAIN, CODES = "ACGTACGTACGTACGT", "ACGTACGTACGTRYSN"
 
 def molecules(spark: SparkSession, sf_dir: str, letters: str = PLAIN) -> DataFrame:
     """seq_id, name, alphabet, topology, length, sequence: 512 bases of each part."""
-    part = table(spark, sf_dir, "part")
+    part = _spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey")
     return part.select(
         F.col("p_partkey").alias("seq_id"),
         F.col("p_name").alias("name"),
@@ -60,6 +66,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     mol = molecules(spark, sf_dir).select("seq_id", "sequence")
     rows = orders.select(F.col("o_orderkey").alias("read_id"), (F.col("o_custkey") % 97 + 1).alias("seq_id"), (F.col("o_orderkey") * 13 % (LENGTH - 96)).cast("int").alias("start"))
+    rows = _spread(rows, "read_id")
     hexes = F.concat(*[F.md5(F.concat(F.col("read_id").cast("string"), F.lit(f"#{k}"))) for k in range(6)])
     window = F.substring(F.col("sequence"), F.col("start") + 1, F.lit(96))
     turned = F.concat(*[F.translate(F.substring(window, k + 1, 1), "ACGT", "CGTA") if k % 17 == 16 else F.substring(window, k + 1, 1) for k in range(96)])

@@ -89,8 +89,10 @@ def translate(seq: Column, table: int = 1, frame: int = 0) -> Column:
     acids = F.lit("".join(dims.code_table(table).values()))
 
     def plain(t: Column) -> Column:
-        digit = lambda i, k: F.ascii(F.substring(t, i * 3 + frame + k, F.lit(1))) - 48
-        return F.array_join(F.transform(positions(n), lambda i: F.substring(acids, digit(i, 1) * 16 + digit(i, 2) * 4 + digit(i, 3) + 1, F.lit(1))), "")
+        # an array of digits: a substring would walk the text from its start for every codon
+        at = lambda d, i: F.substring(acids, F.get(d, i) * 16 + F.get(d, i + 1) * 4 + F.get(d, i + 2) + 1, F.lit(1))
+        digits = F.transform(F.split(t, ""), lambda c: F.ascii(c) - 48)
+        return let(digits, lambda d: F.array_join(F.transform(positions(n), lambda i: at(d, i * 3 + frame)), ""))
 
     coded = lambda t: F.array_join(F.transform(positions(n), lambda i: translate_codon(F.substring(t, i * 3 + frame + 1, F.lit(3)), table)), "")
     up = F.upper(seq)

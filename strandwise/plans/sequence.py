@@ -118,7 +118,7 @@ SIX = _codons("code") + ", strands AS (SELECT seq_id, 'forward' AS strand, seque
 def six_frame(spark, sf_dir):
     seq = F.col("sequence")
     frames = F.array(*[F.struct(F.lit(s).alias("strand"), F.lit(f).alias("frame"), S.translate(t, 1, f).alias("protein")) for s, t in (("forward", seq), ("reverse", S.revcomp(seq))) for f in range(3)])
-    return derive.molecules(spark, sf_dir).select("seq_id", F.explode(frames).alias("x")).select("seq_id", "x.strand", "x.frame", "x.protein")
+    return derive.molecules(spark, sf_dir).select("seq_id", F.inline(frames))
 
 
 @query(views("molecules", more=_codons("c2", 2) + ", " + _codons("c11", 11) + ", k AS (SELECT seq_id, k, substr(sequence, 3 * k + 1, 3) AS codon FROM molecules, range(170) b(k))") + "SELECT seq_id, string_agg(c2.aa, '' ORDER BY k) AS mito, string_agg(c11.aa, '' ORDER BY k) AS bacterial FROM k JOIN c2 USING (codon) JOIN c11 USING (codon) GROUP BY 1")
