@@ -2,11 +2,13 @@
 
 A network sees the two words before and the two after a place, never the word itself, and predicts
 it: embeddings of the four, one hidden layer, a softmax over word classes; within its class a word
-has its share of the corpus count. A document's score is the sum of the log-probabilities of all
-its words.
+has its share of the corpus count, every word its own. A document's score is the sum of the
+log-probabilities of all its words.
 
 Everything is gathered from the whole corpus. Word counts: every task counts its words and shuffles
-them packed by hash, and the most frequent become the vocabulary. The network: in each round every
+them packed by hash into a table of all words; the network tells the most frequent apart and sees
+the others as hash buckets. Scores join the table for the words it does not tell apart; one that
+the table lacks counts ``UNSEEN``, less than any word of the corpus. The network: in each round every
 task takes the last round's parameters, runs one pass of gradient steps over its own rows, and the
 results are averaged by words. What is gathered so grows with the corpus; what reaches the driver
 is bounded by the vocabulary and the network.
@@ -15,14 +17,15 @@ is bounded by the vocabulary and the network.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.llm.cluster import partitions
+from strandwise.llm.cluster import cut, partitions
 from strandwise.llm.text import LOWER, Words, parts, slices, texts
 
 VOCAB, RARE, CLASSES = 4096, 256, 48
@@ -31,6 +34,7 @@ ROUNDS, STRIDE, BATCH, RATE = 2, 4, 512, 0.4
 SCORED = 16384
 SIDE = 2
 BUCKETS = 1024
+UNSEEN = 0.5
 
 
 @dataclass
@@ -41,11 +45,12 @@ class Model:
     words: np.ndarray
     number: np.ndarray
     group: np.ndarray  # class of each id
-    inside: np.ndarray  # log share of each id in its class
+    inside: np.ndarray  # log share of each id in its class; of a bucket: that of one occurrence
     params: list[np.ndarray]  # embeddings, hidden weights and bias, output weights and bias
+    table: DataFrame | None = None  # the counts of all words (word_table); stays on the driver
 
-    def ids(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids with SIDE end marks after each text, the places of words, and words by text."""
+    def ids(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids with SIDE end marks after each text, the places of words, words by text, and hashes."""
         words = Words(docs, table=LOWER)
         h = words.hashes()
         n = words.counts()
@@ -57,7 +62,7 @@ class Model:
             near = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
             found = np.where(self.words[near] == h, self.number[near], found)
         out[at] = found
-        return out, at, n
+        return out, at, n, h
 
 
 def start_params(seed: int = 3) -> list[np.ndarray]:
@@ -100,19 +105,24 @@ def step(params: list[np.ndarray], context: np.ndarray, target: np.ndarray, rate
         embed[:, k] -= rate * 8 * np.bincount(flat, d_x[:, k], len(embed)).astype(np.float32)
 
 
-def word_counts(docs: DataFrame, most: int = VOCAB) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``most`` most frequent words' hashes and counts, and the counts of the rest by bucket."""
+def _bucket_spans(h: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The buckets of ascending hashes, and where each lies."""
+    bucket = (h >> np.uint64(54)).astype(np.int32)
+    edge = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(h)]]) if len(h) else np.zeros(1, dtype=int)
+    return bucket[edge[:-1]], list(zip(edge[:-1], edge[1:], strict=True))
+
+
+def word_table(docs: DataFrame) -> DataFrame:
+    """(bucket, h binary, n binary): hashes and counts of all words, a row for each of BUCKETS ranges."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
 
         def rows() -> Iterator[pa.RecordBatch]:
             h, n = total
-            bucket = (h >> np.uint64(54)).astype(np.int32)
-            edge = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(h)]]) if len(h) else np.zeros(1, dtype=int)
-            spans = list(zip(edge[:-1], edge[1:], strict=True))
-            cols = [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (h, n.astype("<u4"))]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]], pa.int32()), *cols], names=["bucket", "h", "n"])
+            bucket, spans = _bucket_spans(h)
+            cols = [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (h, n.astype("<i8"))]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *cols], names=["bucket", "h", "n"])
 
         for batch in parts(batches):
             docs_ = texts(batch.column(0))
@@ -126,36 +136,48 @@ def word_counts(docs: DataFrame, most: int = VOCAB) -> tuple[np.ndarray, np.ndar
                     total = both[:0], sums[:0]
         yield from rows()
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top_h, top_n = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        rest = np.zeros(RARE, dtype=np.int64)
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
-        def close() -> None:
-            nonlocal top_h, top_n, rest
+        def row() -> pa.RecordBatch:
             h, place = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x, _ in held]), return_inverse=True)
-            n = np.bincount(place, np.concatenate([np.frombuffer(y, "<u4") for _, y in held]), len(h)).astype(np.int64)
-            h, n = np.concatenate([top_h, h]), np.concatenate([top_n, n])
-            order = np.lexsort((h, -n))
-            keep, out = order[:most], order[most:]
-            top_h, top_n = h[keep], n[keep]
-            rest = rest + np.bincount((h[out] % np.uint64(RARE)).astype(np.int64), n[out], RARE).astype(np.int64)
+            n = np.bincount(place, np.concatenate([np.frombuffer(y, "<i8") for _, y in held]), len(h)).astype("<i8")
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([h.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["bucket", "h", "n"])
 
         for batch in batches:
             for bucket, h, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if bucket != now and held:
-                    close()
+                    yield row()
                     held = []
                 now = bucket
                 held.append((h, n))
         if held:
-            close()
-        used = np.flatnonzero(rest)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([top_h.view(np.int64), used])), pa.array(np.concatenate([top_n, rest[used]])), pa.array([False] * len(top_h) + [True] * len(used))], names=["h", "n", "rest"])
+            yield row()
 
     packed = docs.mapInArrow(count, "bucket int, h binary, n binary")
     dealt = packed.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(add, "h bigint, n bigint, rest boolean").persist()
+    return cut(dealt.mapInArrow(total, "bucket int, h binary, n binary"))
+
+
+def word_counts(docs: DataFrame, most: int = VOCAB, table: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``most`` most frequent words' hashes and counts, and the counts of the rest by bucket.
+    table: the documents' word_table, where there is one."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top_h, top_n = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        rest = np.zeros(RARE, dtype=np.int64)
+        for batch in batches:
+            for more_h, more_n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                h, n = np.concatenate([top_h, np.frombuffer(more_h, "<u8")]), np.concatenate([top_n, np.frombuffer(more_n, "<i8")])
+                order = np.lexsort((h, -n))
+                keep, out = order[:most], order[most:]
+                top_h, top_n = h[keep], n[keep]
+                rest = rest + np.bincount((h[out] % np.uint64(RARE)).astype(np.int64), n[out], RARE).astype(np.int64)
+        used = np.flatnonzero(rest)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([top_h.view(np.int64), used])), pa.array(np.concatenate([top_n, rest[used]])), pa.array([False] * len(top_h) + [True] * len(used))], names=["h", "n", "rest"])
+
+    table = word_table(docs) if table is None else table
+    found = table.mapInArrow(add, "h bigint, n bigint, rest boolean").persist()
     # few partitions, as each sends its own ``most`` to the driver
     top = found.where("not rest").coalesce(8).orderBy(F.desc("n"), "h").limit(most).collect()
     last = F.lit(False) if len(top) < most else (F.col("n") < top[-1].n) | ((F.col("n") == top[-1].n) & (F.col("h") > top[-1].h))
@@ -180,7 +202,7 @@ def _rounds(docs: DataFrame, model: Model, rounds: int, stride: int) -> None:
     sizes = [p.size for p in model.params]
     shapes = [p.shape for p in model.params]
     for turn in range(rounds):
-        held = docs.sparkSession.sparkContext.broadcast(model)
+        held = docs.sparkSession.sparkContext.broadcast(replace(model, table=None))
 
         def run(batches: Iterator[pa.RecordBatch], held=held, turn=turn) -> Iterator[pa.RecordBatch]:
             own = held.value
@@ -188,7 +210,7 @@ def _rounds(docs: DataFrame, model: Model, rounds: int, stride: int) -> None:
             for batch in parts(batches):
                 docs_ = texts(batch.column(0))
                 for a, b in slices([len(d) for d in docs_], 1 << 20):
-                    ids, at, _ = own.ids(docs_[a:b])
+                    ids, at, _, _ = own.ids(docs_[a:b])
                     at = at[turn % stride :: stride]
                     for k in range(0, len(at), BATCH):
                         part = at[k : k + BATCH]
@@ -213,28 +235,44 @@ def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride: i
     """Counts all words and trains on every stride-th place of every text. Null and empty texts
     add nothing; an empty table makes an untrained network."""
     held = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
-    words, counts, rare = word_counts(held)
+    table = word_table(held)
+    words, counts, rare = word_counts(held, table=table)
     order = np.argsort(words)
     full = np.concatenate([np.pad(counts, (0, VOCAB - len(counts))), rare, [0]]) + 1
     group, inside = classes_of(full)
-    model = Model(words[order], order, group, inside, start_params())
+    inside[VOCAB : VOCAB + RARE] -= np.log(full[VOCAB : VOCAB + RARE])
+    model = Model(words[order], order, group, inside, start_params(), table)
     _rounds(held, model, rounds, stride)
     return model
 
 
+#: kind: 0 counts of a bucket, 1 scores of some texts, 2 words of those texts to look up, or sums found.
+PACKED = "kind int, bucket int, base bigint, h binary, x binary, ids array<bigint>, counts array<bigint>, sums array<double>"
+TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64())]
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, log_prob, mean_log_prob) of every row: log_prob is the sum over all words, the
     mean is null where there are none. Null texts have no words; null ids come back null; repeated
     rows score alike; an empty table gives no rows; other columns are not read."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(replace(model, table=None))
+    spark, names = docs.sparkSession, [x.split()[0] for x in PACKED.split(", ")]
+
+    def row(kind: int, bucket: int, base: int | None, h=None, x=None, ids=None, n=None, sums=None) -> tuple:
+        return kind, bucket, base, h, x, ids, n, sums
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        cols = zip(*rows, strict=True) if rows else [[]] * len(TYPES)
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, TYPES, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
+        """Of up to 1024 texts a row of their scores so far, and rows of the words to look up."""
+        own, base = held.value, TaskContext.get().partitionId() << 32
         for batch in parts(batches):
             docs_ = texts(batch.column(1))
-            n_words, sums = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+            n_words, sums, rare_h, rare_at, low = [np.zeros(0, dtype=np.int64)], [np.zeros(0)], [], [], 0
             for a, b in slices([len(d) for d in docs_], 1 << 20):
-                ids, at, n = own.ids(docs_[a:b])
+                ids, at, n, h = own.ids(docs_[a:b])
                 logs = np.zeros(len(at) + 1)
                 for k in range(0, len(at), SCORED):
                     part = at[k : k + SCORED]
@@ -245,7 +283,74 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 total = np.cumsum(logs)
                 n_words.append(n)
                 sums.append(total[edge[1:]] - total[edge[:-1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n_words), pa.int64()), pa.array(np.concatenate(sums))], names=[id_col, "n_words", "log_prob"])
+                rare = np.flatnonzero(ids[at] >= VOCAB)
+                rare_h.append(h[rare])
+                rare_at.append((np.repeat(np.arange(a, b), n)[rare]).astype("<u2"))
+            rows = [row(1, base % BUCKETS, base, ids=batch.column(0).to_pylist(), n=np.concatenate(n_words).tolist(), sums=np.concatenate(sums).tolist())]
+            if rare_h:
+                h, at = np.concatenate(rare_h), np.concatenate(rare_at)
+                order = np.argsort(h)
+                h, at = h[order], at[order]
+                rows += [row(2, bucket, base, h[a:b].tobytes(), at[a:b].tobytes()) for bucket, (a, b) in zip(*_bucket_spans(h), strict=True)]
+            yield batch_of(rows)
+            base += 1
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The logarithms of the counts, summed by text over the task's words."""
+        now, h, logs = None, np.zeros(0, dtype=np.uint64), np.zeros(1)
+        found: dict[int, np.ndarray] = {}
+
+        def rows() -> list[tuple]:
+            out = [row(2, 0, base, x=x.tobytes()) for base, x in found.items()]
+            found.clear()
+            return out
 
-    out = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` bigint, n_words bigint, log_prob double")
+        for batch in batches:
+            passed = []
+            for r in zip(*(batch.column(c).to_pylist() for c in range(len(names))), strict=True):
+                kind, bucket, base, own, x = r[:5]
+                if kind == 1:
+                    passed.append(r)
+                    continue
+                if bucket != now:
+                    now, h, logs = bucket, np.zeros(0, dtype=np.uint64), np.zeros(1)
+                own = np.frombuffer(own, "<u8")
+                if kind == 0:
+                    h, logs = own, np.append(np.log(np.frombuffer(x, "<i8")), 0.0)
+                    continue
+                near = np.minimum(np.searchsorted(h, own), max(len(h) - 1, 0))
+                known = h[near] == own if len(h) else np.zeros(len(own), dtype=bool)
+                part = np.bincount(np.frombuffer(x, "<u2"), np.where(known, logs[near], np.log(UNSEEN)), 1024)
+                found[base] = found[base] + part if base in found else part
+                if len(found) > 4096:  # an unbounded task's memory stays bounded
+                    passed += rows()
+            if passed:
+                yield batch_of(passed)
+        yield batch_of(rows())
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The texts' rows: their scores and what was looked up for them."""
+        now, ids, n, sums = None, [], [], np.zeros(0)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sums)], names=[id_col, "n_words", "log_prob"])
+
+        for batch in batches:
+            for _, _, base, _, x, own_ids, own_n, own_sums in zip(*(batch.column(c).to_pylist() for c in range(len(names))), strict=True):
+                if base != now:
+                    if ids:
+                        yield out()
+                    now, ids, n, sums = base, own_ids, own_n, np.array(own_sums)
+                else:
+                    sums = sums + np.frombuffer(x, "<f8")[: len(sums)]
+        if ids:
+            yield out()
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).alias("text")).mapInArrow(run, PACKED)
+    if model.table is not None:
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<bigint>"), ("counts", "array<bigint>"), ("sums", "array<double>"))]
+        rows = rows.unionByName(model.table.select(F.lit(0).alias("kind"), "bucket", F.lit(None).cast("bigint").alias("base"), "h", F.col("n").alias("x"), *none))
+    dealt = rows.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "kind")
+    back = dealt.mapInArrow(look_up, PACKED).repartition(partitions(spark), "base").sortWithinPartitions("base", "kind")
+    out = back.mapInArrow(add, f"`{id_col}` bigint, n_words bigint, log_prob double")
     return out.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))

@@ -66,6 +66,21 @@ def test_pseudo_likelihood(spark, odd, empty):
     assert pseudo.score(empty, pseudo.fit(empty)).count() == 0
 
 
+def test_known_rare_words_score_above_unseen_ones(spark):
+    often, once = [f"often{k}" for k in range(6000)], [f"once{k}" for k in range(2000)]
+    docs = [(k, " ".join(often[k::40] * 3 + once[k::40])) for k in range(40)]
+    model = pseudo.fit(frame(spark, docs))
+    rows = [*often, *once, *(f"never{k}" for k in range(2000))]
+    found = {r.doc_id: r.log_prob for r in pseudo.score(frame(spark, list(enumerate(rows))).repartition(3), model).collect()}
+    known = set(model.words.tolist())
+    h = pseudo.Words([w.encode() for w in rows], table=pseudo.LOWER).hashes().tolist()
+    rare = [found[k] for k in range(6000) if h[k] not in known]
+    assert len(rare) > 1000
+    mean = [np.mean(rare), np.mean([found[k] for k in range(6000, 8000)]), np.mean([found[k] for k in range(8000, 10000)])]
+    assert abs(mean[0] - mean[1] - np.log(3)) < 0.2 and abs(mean[1] - mean[2] - np.log(2)) < 0.2
+    assert sum(np.exp(found[k]) for k in range(8000)) < 1.05
+
+
 def test_word_counts(spark):
     rng = random.Random(9)
     docs = [words(rng, 200) for _ in range(20)]
