@@ -30,7 +30,7 @@ from strandwise.llm.text import LOWER, Words, parts, slices, texts
 
 VOCAB, RARE, CLASSES = 4096, 256, 48
 DIM, HIDDEN = 8, 24
-ROUNDS, STRIDE, BATCH, RATE = 2, 4, 512, 0.4
+ROUNDS, STRIDE, BATCH, RATE = 4, 4, 512, 0.4
 SCORED = 16384
 SIDE = 2
 BUCKETS = 1024
@@ -211,7 +211,8 @@ def _rounds(docs: DataFrame, model: Model, rounds: int, stride: int) -> None:
                 docs_ = texts(batch.column(0))
                 for a, b in slices([len(d) for d in docs_], 1 << 20):
                     ids, at, _, _ = own.ids(docs_[a:b])
-                    at = at[turn % stride :: stride]
+                    k = np.arange(len(at))
+                    at = at[(k + k // stride) % stride == turn % stride]  # another one of each stride places in each round
                     for k in range(0, len(at), BATCH):
                         part = at[k : k + BATCH]
                         step(params, around(ids, part), own.group[ids[part]], RATE * len(part) / BATCH)
@@ -232,8 +233,11 @@ def _rounds(docs: DataFrame, model: Model, rounds: int, stride: int) -> None:
 
 
 def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> Model:
-    """Counts all words and trains on every stride-th place of every text. Null and empty texts
-    add nothing; an empty table makes an untrained network."""
+    """Counts all words and trains on one of each stride places of every text, another one in each
+    round: at least as many rounds as the stride, so that every place is trained on. Null and empty
+    texts add nothing; an empty table makes an untrained network."""
+    if rounds < stride:
+        raise ValueError("fewer rounds than the stride leave places out")
     held = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
     table = word_table(held)
     words, counts, rare = word_counts(held, table=table)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from samples import frame, words
 from pyspark.sql import functions as F
 
@@ -81,6 +82,18 @@ def test_known_rare_words_score_above_unseen_ones(spark):
     assert sum(np.exp(found[k]) for k in range(8000)) < 1.05
 
 
+def test_every_place_is_trained_on(spark):
+    docs = frame(spark, [(k, "va vb vc vd " * 100) for k in range(400)]).coalesce(2)
+    model = pseudo.fit(docs)  # production rounds and stride: each of the four words stands at one place modulo 4
+    ids, at, _, _ = model.ids([b"va vb vc vd " * 20])
+    at = at[4:-4]
+    logs = pseudo.forward(model.params, pseudo.around(ids, at))[2][np.arange(len(at)), model.group[ids[at]]]
+    assert len(set(model.group[ids[at]])) == 4
+    assert all(logs[k::4].mean() > -np.log(4) + 0.3 for k in range(4))
+    with pytest.raises(ValueError):
+        pseudo.fit(docs, rounds=2, stride=4)
+
+
 def test_word_counts(spark):
     rng = random.Random(9)
     docs = [words(rng, 200) for _ in range(20)]
