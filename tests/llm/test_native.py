@@ -6,7 +6,7 @@ import random
 import pytest
 from samples import frame, odd_rows, words
 
-from strandwise.llm import decontaminate, fingerprint, warc
+from strandwise.llm import decontaminate, fingerprint, queries, warc
 
 
 def shingles(text):
@@ -109,3 +109,15 @@ def test_warc_gzip_and_damage():
     assert warc.parse(gzip.compress(data) + gzip.compress(data)) == warc.parse(data) * 2
     with pytest.raises(ValueError):
         warc.parse(data[:-20])
+
+
+def test_warc_query_returns_both_records(spark, sf_dir):
+    rows = queries.op10_warc(spark, sf_dir).limit(20).collect()
+    for r in rows:
+        for data, kind, own in ((r.metadata, "metadata", r.metadata_id), (r.conversion, "conversion", r.conversion_id)):
+            ((headers, block),) = warc.parse(bytes(data))
+            h = dict(headers)
+            assert h["WARC-Type"] == kind and h["WARC-Record-ID"] == own and h["WARC-Refers-To"] == r.response_id
+            assert h["WARC-Block-Digest"] == warc.digest(block) and h["WARC-Target-URI"] and h["WARC-Date"]
+        assert block.decode() == r.text
+    assert rows
