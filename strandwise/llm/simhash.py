@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.llm.cluster import NO_ID, components, cut, fresh, partitions
-from strandwise.llm.text import LOWER, Words, mix, slices, texts, window_hashes
+from strandwise.llm.text import LOWER, Words, mix, parts, slices, texts, window_hashes
 
 RADIUS = 3
 SEGMENTS, SEGMENT_BITS = 4, 16
@@ -192,120 +192,180 @@ def hex_print(column: str = "fp"):
 
 # --- documents of a given similarity ------------------------------------------------------------
 
-WIDE = 4
-WIDE_KEY_BITS, WIDE_KEY_STEP = 16, 8
+KEY_BUCKETS_BITS, CELLS_BITS, CELLS_PART = 10, 20, 1 << 14
+PAIRS = 1 << 20
 
 
-def wide_prints(docs: list[bytes], shingle: int = 5) -> np.ndarray:
-    """(texts, WIDE) uint64: fingerprints of 64 * WIDE bits over word shingles in lower case (A-Z)."""
+def shingle_sets(docs: list[bytes], shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each text's word shingles in lower case (A-Z), ascending, text after
+    text, and where each text's begin. Fewer words than a shingle: the whole sequence."""
     words = Words(docs, table=LOWER)
     one, counts = words.hashes(), words.counts()
-    out = np.zeros((len(docs), WIDE), dtype=np.uint64)
-    for length in range(1, shingle + 1):  # fewer words than a shingle: the whole sequence
+    owner, hashes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
+    for length in range(1, shingle + 1):
         own = np.flatnonzero(counts == length) if length < shingle else np.flatnonzero(counts >= shingle)
         if not len(own):
             continue
-        h = window_hashes(one, length)
         n = counts[own] - length + 1
         low = np.concatenate([[0], np.cumsum(n)])
         at = np.arange(low[-1]) - np.repeat(low[:-1] - words.first[own], n)
-        for a, b in slices((n * 64).tolist(), 8 << 20):
-            for k in range(WIDE):
-                x = mix(h[at[low[a] : low[b]]] + np.uint64(k * 0x632BE59BD9B4E019 & (1 << 64) - 1)).astype(">u8")
-                sums = np.add.reduceat(np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1), low[a:b] - low[a], axis=0, dtype=np.int32)
-                out[own[a:b], k] = np.packbits(2 * sums > n[a:b, None], axis=1).view(">u8")[:, 0]
-    return out
+        owner.append(np.repeat(own, n))
+        hashes.append(mix(window_hashes(one, length)[at]))
+    owner, hashes = np.concatenate(owner), np.concatenate(hashes)
+    order = np.lexsort((hashes, owner))
+    owner, hashes = owner[order], hashes[order]
+    new = np.ones(len(owner), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
+    return hashes[new], np.searchsorted(owner[new], np.arange(len(docs) + 1))
 
 
-def radius_of(similarity: float, bits: int = 64 * WIDE, slack: float = 1.2) -> int:
-    """Bits in which the fingerprints of two sets of that resemblance differ: the angle between
-    them over pi, and ``slack`` times that to cover its spread."""
-    return int(slack * bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def _sets_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Packed sets, one after the other, and the set of each hash."""
+    packed = column.to_pylist()
+    return np.frombuffer(b"".join(packed), dtype="<u8"), np.repeat(np.arange(len(packed)), [len(x) // 8 for x in packed])
 
 
-def _near(prints: np.ndarray, radius: int) -> np.ndarray:
-    """Which pairs lie within the radius: ring chains over the fingerprint's words prune first."""
-    n = len(prints)
-    d = np.stack([np.bitwise_count(prints[:, None, k] ^ prints[None, :, k]) for k in range(WIDE)]).astype(np.int16)
-    ring = np.zeros((n, n), dtype=bool)
-    for i in range(WIDE):
-        total, held = np.zeros((n, n), dtype=np.int16), np.ones((n, n), dtype=bool)
-        for step in range(WIDE):
-            total = total + d[(i + step) % WIDE]
-            held &= total <= radius * (step + 1) // WIDE
-        ring |= held
-    return ring & (d.sum(axis=0) <= radius)
+def _cells(sets: DataFrame) -> np.ndarray:
+    """How many hashes of the sets (column h) fall into each of 2**CELLS_BITS cells."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << CELLS_BITS, dtype=np.int64)
+        for batch in parts(batches):
+            h, _ = _sets_of(batch.column(0))
+            total += np.bincount((h >> np.uint64(64 - CELLS_BITS)).astype(np.int64), minlength=len(total))
+        yield from packed(range(len(total) // CELLS_PART), total.reshape(-1, CELLS_PART))
 
+    def packed(part, cells) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([np.minimum(c, 0xFFFFFFFF).astype("<u4").tobytes() for c in cells], pa.binary())], names=["part", "c"])
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, block: int = BLOCK) -> DataFrame:
-    """(id, component_id) of every row: documents whose word shingles resemble each other by about
-    ``similarity`` or more are linked, by fingerprints of 256 bits.
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held[part] = held.get(part, 0) + np.frombuffer(c, "<u4").astype(np.int64)
+        yield from packed(list(held), list(held.values()))
+
+    out = np.zeros((1 << CELLS_BITS) // CELLS_PART * CELLS_PART, dtype=np.uint32)
+    each = sets.select("h").mapInArrow(count, "part int, c binary").repartition(partitions(sets.sparkSession), "part")
+    for r in each.mapInArrow(add, "part int, c binary").collect():  # 4 bytes a cell
+        out[r.part * CELLS_PART : (r.part + 1) * CELLS_PART] = np.frombuffer(r.c, "<u4")
+    return out
 
-    At that distance no segment need be equal, so candidates are found by any of 31 segments of 16
-    bits that is: a pair at 0.8 has one with a probability of about 0.85, at 0.9 of 0.99. Rows with
-    equal fingerprints are linked without being paired. Keys that hold more than ``block``
-    fingerprints are dealt over pairs of blocks. Texts without words are linked with each other
-    only. Null texts, null, equal and clashing columns as in near_duplicates.
+
+def least_shared(size_a: np.ndarray, size_b: np.ndarray, similarity: float) -> np.ndarray:
+    """How many hashes two sets share at the least to resemble each other by ``similarity``."""
+    return np.ceil((size_a + size_b) * (similarity / (1 + similarity)) - 1e-9)
+
+
+def _pairs(rows: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
+    """Pairs of sets that share a key and may resemble each other enough. rows: (key, set, size,
+    place of the key in the set's order). A pair's first common key passes both filters."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 2], rows[:, 0]))]
+    same = np.ones(len(rows), dtype=bool)
+    same[1:] = np.any(rows[1:, :2] != rows[:-1, :2], axis=1)
+    key, v, size, place = np.ascontiguousarray(rows[same].T)
+    at, held, n = np.arange(len(key)), [], 0
+    for step in range(1, len(key)):
+        at = at[at + step < len(key)]
+        to = at + step
+        at = at[(key[at] == key[to]) & (size[at] >= similarity * size[to] - 1e-9)]  # sizes ascend in a key
+        if not len(at):
+            break
+        to = at + step
+        fits = np.minimum(size[at] - place[at], size[to] - place[to]) >= least_shared(size[at], size[to], similarity)
+        a, b = v[at[fits]], v[to[fits]]
+        held.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+        n += len(a)
+        if n > PAIRS:
+            yield np.unique(np.concatenate(held), axis=0)
+            held, n = [], 0
+    if n:
+        yield np.unique(np.concatenate(held), axis=0)
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """(id, component_id) of every row: documents are linked whose sets of word shingles resemble
+    each other by ``similarity`` or more; component_id is the smallest id reachable over links.
+
+    No such pair is lost and no other is linked (up to collisions of 64-bit hashes). In any order of
+    all hashes, two such sets share one of their first n - ceil(similarity * n) + 1 hashes, so these
+    are the keys of a set; rare ones come first, by counts of hash cells. Pairs with a common key
+    that sizes and places allow are then compared by their whole sets. Equal sets are linked without
+    being paired. Texts without words are linked with each other only. Null texts, null, equal and
+    clashing columns as in near_duplicates.
     """
-    spark, radius = docs.sparkSession, radius_of(similarity)
+    spark = docs.sparkSession
     held = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id_"), F.col(text_col).alias("text"))
 
     def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             docs_ = texts(batch.column(1))
             for a, b in slices([len(d) for d in docs_]):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in wide_prints(docs_[a:b], shingle)], pa.binary())], names=["id_", "fp"])
+                h, low = shingle_sets(docs_[a:b], shingle)
+                total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(h + np.uint64(0x632BE59BD9B4E019)))])
+                fp = mix(total[low[1:]] - total[low[:-1]] + np.diff(low).astype(np.uint64)).view(np.int64)
+                packed = [h[x:y].tobytes() for x, y in zip(low[:-1], low[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fp), pa.array(packed, pa.binary())], names=["id_", "fp", "h"])
+
+    sets = cut(held.mapInArrow(prints_of, "id_ bigint, fp bigint, h binary"))
+    cells = spark.sparkContext.broadcast(_cells(sets))
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        offsets = range(0, 64 * WIDE - WIDE_KEY_BITS + 1, WIDE_KEY_STEP)
-        for batch in batches:
-            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u8").reshape(-1, WIDE)
-            bits = raw.astype(">u8").view(np.uint8).reshape(len(raw), -1).astype(np.int64)
-            keys = [(np.int64(k) << 16) | (bits[:, o // 8] << 8) | bits[:, o // 8 + 1] for k, o in enumerate(offsets)]
-            ids, fp = batch.column(0), batch.column(1)
-            for key in keys:
-                yield pa.RecordBatch.from_arrays([pa.array(key), ids, fp], names=["k", "v", "fp"])
-
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def of(group: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-            v = np.array([g[0] for g in group], dtype=np.int64)
-            near = _near(np.frombuffer(b"".join(g[1] for g in group), dtype="<u8").reshape(-1, WIDE), radius)
-            label = np.arange(len(v))
-            while True:
-                new = np.minimum(label, np.where(near, label[None, :], len(v)).min(axis=1))
-                new = new[new]
-                if (new == label).all():
-                    break
-                label = new
-            leaf = np.flatnonzero(label != np.arange(len(v)))
-            return v[leaf], v[label[leaf]]
-
-        now, group = None, []
+        for batch in parts(batches):
+            fp = batch.column(0).to_numpy()
+            h, owner = _sets_of(batch.column(1))
+            order = np.lexsort((mix(h), cells.value[(h >> np.uint64(64 - CELLS_BITS)).astype(np.int64)], owner))
+            size = np.bincount(owner, minlength=len(fp))
+            place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+            first = place < (size - np.ceil(similarity * size - 1e-9) + 1)[owner]
+            h, owner, place = h[order[first]], owner[first], place[first]
+            order = np.argsort(h)
+            h, owner, place = h[order], owner[order], place[order]
+            rows = np.column_stack([h.view(np.int64), fp[owner], (size[owner] << 32) | place])
+            bucket = (h >> np.uint64(64 - KEY_BUCKETS_BITS)).astype(np.int32)
+            edge = np.searchsorted(bucket, np.arange((1 << KEY_BUCKETS_BITS) + 1))
+            used = np.flatnonzero(np.diff(edge))
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([rows[edge[k] : edge[k + 1]].tobytes() for k in used], pa.binary())], names=["bucket", "x"])
+
+    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held_ = None, []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            x = np.frombuffer(b"".join(held_), dtype="<i8").reshape(-1, 3)
+            for ab in _pairs(np.column_stack([x[:, :2], x[:, 2] >> 32, x[:, 2] & 0xFFFFFFFF]), similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
+
         for batch in batches:
-            found = []
-            for k, x, y, v, fp in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                if (k, x, y) != now:
-                    if len(group) > 1:
-                        found.append(of(group))
-                    now, group = (k, x, y), []
-                group.append((v, fp))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[c] for f in found])) for c in (0, 1)], names=["a", "b"])
-        if len(group) > 1:
-            a, b = of(group)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    prints = cut(held.mapInArrow(prints_of, "id_ bigint, fp binary"))
-    own = prints.groupBy("fp").agg(F.min("id_").alias("v"))
-    rows = own.where(F.col("fp") != F.lit(bytes(8 * WIDE))).select("v", "fp").mapInArrow(keys_of, "k bigint, v bigint, fp binary")
-    full = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(full, "k").withColumn("m", F.ceil(F.col("n") / block).cast("int")).withColumn("r", F.pmod(F.xxhash64("v"), F.col("m")).cast("int"))
-    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("k", F.least("r", "j").alias("x"), F.greatest("r", "j").alias("y"), "v", "fp")
-    dealt = rows.repartition(partitions(spark), "k", "x", "y").sortWithinPartitions("k", "x", "y")
-    stars = components(dealt.mapInArrow(links, "a bigint, b bigint"))
-    named = own.join(stars, "v", "left").select("fp", F.coalesce("label", "v").alias("component_id"))
+            for bucket, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != now and held_:
+                    yield from found()
+                    held_ = []
+                now = bucket
+                held_.append(x)
+        if held_:
+            yield from found()
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                both = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
+                keep.append(both >= similarity * ((len(x) + len(y)) // 8 - both) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    keys = sets.select("fp", "h").mapInArrow(keys_of, "bucket int, x binary")
+    dealt = keys.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
+    pairs = cut(dealt.mapInArrow(pairs_of, "a bigint, b bigint").distinct())
+    touched = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    whole = cut(sets.join(touched, "fp", "left_semi").groupBy("fp").agg(F.first("h").alias("h")))
+    both = pairs.join(whole.select(F.col("fp").alias("a"), F.col("h").alias("x")), "a").join(whole.select(F.col("fp").alias("b"), F.col("h").alias("y")), "b")
+    stars = components(both.select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint"))
+    own = sets.groupBy("fp").agg(F.min("id_").alias("least"))
+    place = own.join(stars, own.fp == stars.v, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    root = place.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = place.join(root, "label").select("fp", "component_id")
     back = lambda c: F.when(F.col(c) != F.lit(NO_ID), F.col(c))
-    return prints.join(named, "fp").select(back("id_").alias(id_col), back("component_id").alias("component_id"))
+    return sets.select("id_", "fp").join(named, "fp").select(back("id_").alias(id_col), back("component_id").alias("component_id"))
 
 
 def without_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -152,3 +152,28 @@ def test_near_copies(spark):
     left = simhash.without_copies(frame(spark, rows))
     assert sorted(r.doc_id for r in left.collect()) == [3 * k for k in range(30)] + [1000]
     assert left.columns == frame(spark, rows).columns
+
+
+def _edited(rng, text, changes):
+    w = text.split()
+    for i in rng.sample(range(10, len(w) - 10), changes):
+        w[i] = f"new{rng.randrange(10**9)}"
+    return " ".join(w)
+
+
+def _resemblance(a, b):
+    x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_lose_no_pair(spark):
+    rng = random.Random(31)
+    text = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    rows, want = [], {}
+    while len(rows) < 600:  # pairs just above 0.8, none with a third text that would link them
+        a = text(rng.randrange(150, 400))
+        b = _edited(rng, a, len(a.split()) // 46)
+        if 0.8 <= _resemblance(a, b) < 0.83:
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, rows)).collect()}
+    assert all(found[k] == k // 2 * 2 for k in range(len(rows)))
