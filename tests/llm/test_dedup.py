@@ -177,3 +177,14 @@ def test_near_copies_lose_no_pair(spark):
             rows += [(len(rows), a), (len(rows) + 1, b)]
     found = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, rows)).collect()}
     assert all(found[k] == k // 2 * 2 for k in range(len(rows)))
+
+
+def test_near_copies_link_nothing_below(spark):
+    rng = random.Random(32)
+    rows = []
+    while len(rows) < 200:
+        a = " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(150, 400)))
+        b = _edited(rng, a, len(a.split()) // 36)
+        if 0.72 <= _resemblance(a, b) < 0.8:
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    assert all(r.doc_id == r.component_id for r in simhash.near_copies(frame(spark, rows)).collect())
