@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,14 +13,18 @@ NO_ID = -(1 << 63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder path under the cluster's shared checkpoint folder. Only where
-    spark.checkpoint.dir is unset (tests in one process) is a local folder used."""
+    """A new folder path under the cluster's shared checkpoint folder. What is written there stays
+    until that folder is cleared: results read it lazily."""
     return f"{checkpoint_dir(spark)}/strandwise-{uuid.uuid4().hex}"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a session in one process (local[n], as in
+    tests) may leave it unset and gets a folder of its own."""
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not held:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         held = "file://" + tempfile.mkdtemp(prefix="strandwise-")
         spark.sparkContext.setCheckpointDir(held)
     return held
@@ -45,13 +50,6 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of the shared store through Spark's own file system."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """The smallest label that each vertex of ``edges`` (a, b: bigint) can reach: rows (v, label).
 

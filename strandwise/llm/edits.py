@@ -18,27 +18,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandwise.llm.text import lean
+
 LEAF = 32
-KNOWN = 600_000
+KNOWN, KNOWN_CHARS = 600_000, 64
 _UNSAFE = re.compile(r"\s |^ | \s| $")
 _COUNTERS: dict = {}
 
 
 class Counter:
-    """Token counts of segments by the library, remembered up to ``KNOWN`` segments."""
+    """Token counts of segments by the library; up to ``KNOWN`` segments are remembered. Those of
+    over ``KNOWN_CHARS`` characters are remembered for the texts at hand only."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, int] = {}
+        self.long: list[str] = []
 
     def learn(self, segments: list[list[str]]) -> None:
+        for s in self.long:
+            self.known.pop(s, None)
         new = set().union(*segments).difference(self.known) if segments else set()
         if len(self.known) + len(new) > KNOWN:
             self.known.clear()
             new = set().union(*segments)
         rest = list(new)
+        self.long = [s for s in rest if len(s) > KNOWN_CHARS]
         for k in range(0, len(rest), 4096):
             part = rest[k : k + 4096]
             for s, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -48,7 +55,7 @@ class Counter:
         try:
             return list(map(self.known.__getitem__, segments))
         except KeyError:
-            self.learn([segments])
+            self.learn([segments])  # also those known: long ones may go
             return list(map(self.known.__getitem__, segments))
 
 
@@ -196,11 +203,11 @@ def recount(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in cols)], names=[id_col, "n_tokens", "edited_tokens", "edited_chars", "edited_crc32", "encoded_chars"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).alias("text"), F.col(edits_col).cast("array<struct<start:int,end:int,text:string>>").alias("edits"))
-    return rows.mapInArrow(run, f"`{id_col}` bigint, n_tokens bigint, edited_tokens bigint, edited_chars bigint, edited_crc32 bigint, encoded_chars bigint")
+    return rows.mapInArrow(lean(run), f"`{id_col}` bigint, n_tokens bigint, edited_tokens bigint, edited_chars bigint, edited_crc32 bigint, encoded_chars bigint")
 
 
 def with_sample_edits(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with three edits of each text: a word put in at a quarter, the middle 16 characters
+    """docs with three edits of each text in column edits (in place of one they may have): a word put in at a quarter, the middle 16 characters
     replaced by the first 24, and the last 10 taken away."""
     n = F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("int")
     edit = lambda a, b, t: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), t.alias("text"))

@@ -19,11 +19,12 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.llm.cluster import NO_ID, partitions
-from strandwise.llm.text import Words, join_hashes, mix, slices, texts, window_hashes
+from strandwise.llm.cluster import NO_ID, cut, partitions
+from strandwise.llm.text import Words, join_hashes, lean, mix, parts, slices, texts, window_hashes
 
 WINDOW = 20
 BUCKET_BITS = 12
@@ -130,7 +131,7 @@ def _by_text(found: DataFrame) -> DataFrame:
             yield rows(parts)
 
     dealt = found.repartition(partitions(found.sparkSession), "owner").sortWithinPartitions("owner")
-    return dealt.mapInArrow(run, "id_ bigint, places binary")
+    return dealt.mapInArrow(lean(run), "id_ bigint, places binary")
 
 
 class _Held:
@@ -162,7 +163,7 @@ def _local(words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _level_one(docs: DataFrame, half: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held()
-        for batch in batches:
+        for batch in parts(batches):
             ids, docs_ = batch.column(0).to_numpy(), texts(batch.column(1))
             for a, b in slices([len(d) for d in docs_]):
                 words = Words(docs_[a:b])
@@ -172,7 +173,7 @@ def _level_one(docs: DataFrame, half: int) -> DataFrame:
                 yield from held.add(h[at], h[:0], ids[a:b][text], pos)
         yield from held.flush()
 
-    return docs.mapInArrow(run, PACKED)
+    return docs.mapInArrow(lean(run), PACKED)
 
 
 def _level_two(candidates: DataFrame, half: int) -> DataFrame:
@@ -180,7 +181,7 @@ def _level_two(candidates: DataFrame, half: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held()
-        for batch in batches:
+        for batch in parts(batches):
             ids, docs_, places = batch.column(0).to_numpy(), texts(batch.column(1)), batch.column(2).to_pylist()
             for a, b in slices([len(d) for d in docs_]):
                 words = Words(docs_[a:b])
@@ -191,13 +192,13 @@ def _level_two(candidates: DataFrame, half: int) -> DataFrame:
                 for k in range(a, b):
                     live[words.first[k - a] + np.frombuffer(places[k], dtype="<i4")] = True
                 starts = starts[live[_anchor_starts(mix(h), half, starts)]]
-                h, g = (mix(join_hashes(x, x, half, half))[starts] if len(starts) else x[:0] for x in (h, g))
+                h, g = (mix(join_hashes(x, x, half))[starts] if len(starts) else x[:0] for x in (h, g))
                 text, pos = _local(words, starts)
                 if len(starts):
                     yield from held.add(h, g, ids[a:b][text], pos)
         yield from held.flush()
 
-    return candidates.mapInArrow(run, PACKED)
+    return candidates.mapInArrow(lean(run), PACKED)
 
 
 def _reduce(packed: DataFrame, wide: bool) -> DataFrame:
@@ -240,12 +241,12 @@ def _reduce(packed: DataFrame, wide: bool) -> DataFrame:
             yield from _finds(*(np.concatenate([x[k] for x in out]) for k in (0, 1)))
 
     dealt = packed.repartition(partitions(packed.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return _by_text(dealt.mapInArrow(run, FOUND))
+    return _by_text(dealt.mapInArrow(lean(run), FOUND))
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(id_, places): for each text (id_, text) the places (packed int32) of its windows whose
-    words also start earlier. window: an even number of words."""
+    words also start earlier. Ids are unique. window: an even number of words."""
     if window < 2 or window % 2:
         raise ValueError("window is an even number of words")
     half = window // 2
@@ -257,7 +258,7 @@ def _finish(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
     schema = "id_ bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             n_words, n_removed, sha, kept = [], [], [], []
             for text, places in zip(texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 words = text.split()  # bytes: at the same separators
@@ -277,7 +278,21 @@ def _finish(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
             cols = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.string())] * with_text, names=["id_", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + with_text])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
+
+
+def _numbered(held: DataFrame) -> DataFrame:
+    """(id_, sha_, text, own): the different rows of held, numbered in the order of ids and digests."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(at, at + batch.num_rows))], names=["id_", "sha_", "text", "own"])
+            at += batch.num_rows
+
+    once = held.groupBy("id_", "sha_").agg(F.first("text").alias("text"))
+    dealt = once.repartitionByRange(partitions(held.sparkSession), "id_", "sha_").sortWithinPartitions("id_", "sha_")
+    return cut(dealt.mapInArrow(lean(number), "id_ bigint, sha_ string, text string, own bigint"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = True) -> DataFrame:
@@ -286,9 +301,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_words, n_removed, kept_sha256) and, with_text, the kept words joined by one space.
 
     A null or empty text, or one with fewer words than a window, keeps all its words. Rows that
-    share an id count as one text: a window is earlier only under a smaller id or place. A null id
-    counts as the smallest and comes back null. An empty table gives no rows.
+    share an id come in the order of their texts' SHA-256; rows that also share the text count as
+    one and have the same result. A null id counts as the smallest and comes back null. An empty
+    table gives no rows.
     """
-    held = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id_"), F.col(text_col).alias("text"))
-    out = _finish(held.join(repeated_windows(held, window), "id_", "left").select("id_", "text", "places"), window, with_text)
-    return out.select(F.when(F.col("id_") != F.lit(NO_ID), F.col("id_")).alias(id_col), *out.columns[1:])
+    held = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    back = F.when(F.col("id_") != F.lit(NO_ID), F.col("id_")).alias(id_col)
+    if not held.groupBy("id_").count().where("count > 1").head(1):
+        out = _removed(held, window, with_text)
+        return out.select(back, *out.columns[1:])
+    held = held.withColumn("sha_", F.sha2("text", 256))
+    rows = _numbered(held)
+    out = _removed(rows.select(F.col("own").alias("id_"), "text"), window, with_text).withColumnRenamed("id_", "own")
+    names = out.columns[1:]
+    each = held.select("id_", "sha_").join(rows.select("id_", "sha_", "own"), ["id_", "sha_"])
+    return each.join(out, "own").select(back, *names)
+
+
+def _removed(held: DataFrame, window: int, with_text: bool) -> DataFrame:
+    return _finish(held.join(repeated_windows(held, window), "id_", "left").select("id_", "text", "places"), window, with_text)

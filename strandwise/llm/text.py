@@ -8,13 +8,17 @@ on its longest single text, not on the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE = 3 << 20
+LONG = 64
 U64 = np.uint64
+GOLDEN = 0x9E3779B97F4A7C15
 
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -40,6 +44,21 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.Re
             yield batch.slice(k, rows)
 
 
+def lean(run):
+    """The mapper, giving freed memory back to the system at the end of each task: workers live as
+    long as their executor and would otherwise keep the most that any of their tasks has used."""
+
+    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return mapper
+
+
 def slices(sizes: list[int], limit: int = SLICE) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive texts of about ``limit`` bytes together (one text at least)."""
     low, held = 0, 0
@@ -77,30 +96,10 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word's bytes: a polynomial over random byte values, then a mixer."""
+        """A 64-bit hash of each word's bytes."""
         return span_hashes(self.buf, self.starts, self.ends, seed)
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-
-
-def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte values, powers of the seed's odd base and of its inverse modulo 2**64."""
-    if seed not in _POWERS or len(_POWERS[seed][1]) < n:
-        rng = np.random.default_rng(0x5EED + seed)
-        values = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-        base = int(rng.integers(1 << 59, 1 << 60)) * 8 + 5
-        size = max(n, SLICE + (1 << 16))
-
-        def powers(x: int) -> np.ndarray:
-            out = np.full(size, U64(x))
-            out[0] = 1
-            return np.multiply.accumulate(out)
-
-        _POWERS[seed] = values, powers(base), powers(pow(base, -1, 1 << 64))
-    return _POWERS[seed]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -108,33 +107,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of spans ``buf[start:end]``; equal bytes have equal hashes wherever they stand."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    values, power, inverse = _powers(seed, len(buf))
-    total = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(values[buf] * power[: len(buf)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts])
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
-def window_hashes(h: np.ndarray, length: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of spans ``buf[start:end]``; equal bytes have equal hashes wherever they stand.
+
+    Eight bytes at a time are mixed into what came before, so that spans of one length up to eight
+    bytes never collide; spans of over ``LONG`` bytes go through XXH3."""
+    size = ends - starts
+    h = mix(size.astype(U64) + U64((seed + 1) * GOLDEN % (1 << 64)))
+    padded = np.concatenate([buf, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray(len(buf) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left = starts[live], size[live]
+    while len(live):
+        h[live] = mix(h[live] ^ (eight[at] & _MASK[np.minimum(left, 8)]))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG):
+        h[k] = xxhash.xxh3_64_intdigest(memoryview(padded[starts[k] : ends[k]]), seed)
+    return h
+
+
+def window_hashes(h: np.ndarray, length: int) -> np.ndarray:
     """Hash of each window of ``length`` consecutive entries of h, by doubling: a window's hash is
-    that of its first half times a power of the base, plus that of its second half."""
+    joined from those of its parts."""
     if len(h) < length:
         return np.zeros(0, dtype=np.uint64)
     built, out, done, block = 1, None, 0, h
     while True:
         if length & built:
-            out = block if out is None else join_hashes(out, block, done, built, base)
+            out = block if out is None else join_hashes(out, block, done)
             done += built
         if done == length:
             return out
-        block = join_hashes(block, block, built, built, base)
+        block = join_hashes(block, block, built)
         built *= 2
 
 
-def join_hashes(a: np.ndarray, b: np.ndarray, len_a: int, len_b: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """Hashes of windows of len_a + len_b entries from those of len_a and of len_b."""
+def join_hashes(a: np.ndarray, b: np.ndarray, len_a: int) -> np.ndarray:
+    """Hashes of windows from those of their first len_a entries and of the rest."""
     n = min(len(a), len(b) - len_a)
-    return a[:n] * U64(pow(base, len_b, 1 << 64)) + b[len_a : len_a + n]
+    return mix(a[:n] * U64(GOLDEN) + b[len_a : len_a + n])

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from strandwise.llm.cluster import NO_ID, bucket_of, cut, key_bounds, partitions
 from strandwise.llm.huffman import Code, bit_limit, code_lengths, read_block, write_block
-from strandwise.llm.text import LOWER, parts, slices, span_hashes, texts
+from strandwise.llm.text import LOWER, lean, mix, parts, slices, span_hashes, texts
 
 KNOWN = 3_000_000
 BLOCK = 1 << 20
@@ -62,8 +62,9 @@ class Encoder:
 
     For tokenizers that normalise case and white space away and cut words from punctuation (as
     word_bpe_49k) the ids of a text are those of its spans one after another. Spans are looked up
-    by a 64-bit hash in arrays; only those that are new to the worker go through the library, a
-    batch at a time. The memory holds ``KNOWN`` spans (about 30 bytes each) and then starts again.
+    by a 64-bit hash in arrays, where a second one must agree; only those that are new to the worker
+    go through the library, a batch at a time. The memory holds ``KNOWN`` spans (about 40 bytes
+    each) and then starts again.
     """
 
     def __init__(self, path: str):
@@ -76,9 +77,9 @@ class Encoder:
 
     def _clear(self) -> None:
         self.keys, self.low, self.size = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
-        self.ids = np.zeros(0, dtype=self.dtype)
+        self.check, self.ids = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=self.dtype)
 
-    def _learn(self, keys: np.ndarray, spans: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, check: np.ndarray, spans: list[str]) -> None:
         """Adds spans under their (ascending) keys."""
         found: list[list[int]] = []
         for k in range(0, len(spans), 4096):
@@ -87,23 +88,31 @@ class Encoder:
         low = len(self.ids) + np.cumsum(size) - size
         self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], dtype=self.dtype)])
         at = np.searchsorted(self.keys, keys)
-        self.keys, self.low, self.size = np.insert(self.keys, at, keys), np.insert(self.low, at, low), np.insert(self.size, at, size)
+        self.keys, self.check = np.insert(self.keys, at, keys), np.insert(self.check, at, check)
+        self.low, self.size = np.insert(self.low, at, low), np.insert(self.size, at, size)
 
     def encode(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts (UTF-8), one after another, and how many each text has."""
         buf = np.frombuffer(b"\n".join(docs) + b"\n", dtype=np.uint8)
         start, end = spans_of(buf)
-        keys, first, place = np.unique(span_hashes(LOWER[buf], start, end), return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > KNOWN:
-            self._clear()
-        at = np.searchsorted(self.keys, keys)
-        new = np.ones(len(keys), dtype=bool)
-        there = at < len(self.keys)
-        new[there] = self.keys[at[there]] != keys[there]
-        if new.any():
-            raw = buf.tobytes()
-            self._learn(keys[new], [raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+        lower = LOWER[buf]
+        key, check = span_hashes(lower, start, end), span_hashes(lower, start, end, 1)
+        while True:
+            keys, first, place = np.unique(key, return_index=True, return_inverse=True)
+            if len(self.keys) + len(keys) > KNOWN:
+                self._clear()
             at = np.searchsorted(self.keys, keys)
+            new = np.ones(len(keys), dtype=bool)
+            there = at < len(self.keys)
+            new[there] = self.keys[at[there]] != keys[there]
+            if new.any():
+                raw, pick = buf.tobytes(), first[new]
+                self._learn(keys[new], check[pick], [raw[a:b].decode() for a, b in zip(start[pick].tolist(), end[pick].tolist(), strict=True)])
+                at = np.searchsorted(self.keys, keys)
+            other = self.check[at][place] != check
+            if not other.any():
+                break
+            key[other] = mix(key[other] ^ check[other])  # spans that share a hash get another one
         size = self.size[at][place].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(self.low[at][place] - total[:-1], size) + np.arange(total[-1])]
@@ -135,7 +144,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 packed = [ids[x:y].tobytes() + end for x, y in zip(edge[:-1], edge[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(packed, pa.binary())], names=["id_", "ids"])
 
-    return docs.mapInArrow(run, "id_ bigint, ids binary")
+    return docs.mapInArrow(lean(run), "id_ bigint, ids binary")
 
 
 def _counts(ids: DataFrame, vocab: int, dtype: str) -> np.ndarray:
@@ -153,7 +162,7 @@ def _counts(ids: DataFrame, vocab: int, dtype: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["token", "n"])
 
     out = np.zeros(vocab, dtype=np.int64)
-    for row in ids.select("ids").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect():
+    for row in ids.select("ids").mapInArrow(lean(run), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect():
         out[row.token] = row.n
     return out
 
@@ -202,7 +211,7 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     n_parts = len(bounds) + 1
     rows = ids.select(bucket_of("id_", bounds).alias("part"), "id_", "ids")
     rows = rows.repartitionById(n_parts, F.col("part")).sortWithinPartitions("part", "id_", "ids")
-    rows.mapInArrow(run, "part int, block bigint, first_id bigint, n_docs bigint, n_tokens bigint, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    rows.mapInArrow(lean(run), "part int, block bigint, first_id bigint, n_docs bigint, n_tokens bigint, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_code(spark: SparkSession, path: str) -> tuple[np.ndarray, str]:
@@ -235,4 +244,4 @@ def read_corpus(spark: SparkSession, path: str, with_ids: bool = True, id_col: s
                     cols.append(pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids, pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=[id_col, "start", "n_tokens", "ids_crc32", "token_ids"][: 4 + with_ids])
 
-    return blocks.select("part", "payload").mapInArrow(run, schema)
+    return blocks.select("part", "payload").mapInArrow(lean(run), schema)

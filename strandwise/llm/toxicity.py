@@ -8,7 +8,8 @@ words in the text itself. A score is the logistic of the logit less its language
 that 0.5 is the threshold everywhere.
 
 The classifier is fitted on the driver on a bounded sample of the labelled rows: ``PER_CLASS`` of
-either class at most, by the order of a hash of their ids.
+either class at most, by the order of a hash of their ids, and of those as many as fit into
+``SAMPLE_BYTES`` of text.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.llm.text import Words, slices, span_hashes, texts
+from strandwise.llm.cluster import cut
+from strandwise.llm.text import Words, lean, parts, slices, span_hashes, texts
 
-PER_CLASS = 2500
+PER_CLASS, SAMPLE_BYTES = 2500, 64 << 20
 STEPS, STARTS = 1500, 3
 FOLDS = 5
 ROWS, DIM, FILTERS = 1 << 16, 12, 6
@@ -215,19 +217,26 @@ def held_out(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(FOLDS)) == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Model:
-    """Fits on at most per_class labelled rows of either class that aren't held out. Null labels,
-    ids and texts are left out; rows without any label of a class make a model that scores every
-    text alike."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fits on at most per_class labelled rows of either class that aren't held out, and on at most
+    sample_bytes of their text. Null labels, ids and texts are left out; an id with different labels
+    counts as toxic, one with different texts has the least of them; rows without any label of a
+    class make a model that scores every text alike."""
     known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).cast("bigint").alias("id_")).agg(F.max(label_col).alias("y"))
     chosen = None
     for c in (0, 1):
         part = known.where(F.col("y") == c).orderBy(F.xxhash64("id_"), "id_").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     own = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id_"), F.col(text_col).alias("text"))
-    rows = own.join(F.broadcast(chosen), "id_").groupBy("id_", "y").agg(F.min("text").alias("text")).collect()  # 2 * per_class rows at most
-    rows.sort(key=lambda r: zlib.crc32(str(r.id_).encode()) * (1 << 64) + r.id_)
-    return train([r.text.encode() for r in rows], np.array([r.y for r in rows], dtype=np.int64))
+    found = cut(own.join(F.broadcast(chosen), "id_").groupBy("id_", "y").agg(F.min("text").alias("text")))
+    sizes = found.select("id_", "y", F.octet_length("text").alias("n")).collect()  # 2 * per_class rows at most
+    sizes.sort(key=lambda r: zlib.crc32(str(r.id_).encode()) * (1 << 64) + r.id_)
+    total, fits = 0, {}
+    for r in sizes:
+        if total + r.n <= sample_bytes:
+            total, fits[r.id_] = total + r.n, r.y
+    texts_ = {r.id_: r.text for r in found.where(F.col("id_").isin(list(fits))).collect()} if len(fits) < len(sizes) else {r.id_: r.text for r in found.collect()}
+    return train([texts_[i].encode() for i in fits], np.array(list(fits.values()), dtype=np.int64))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,11 +246,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             s = held.value.scores(texts(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=[id_col, "score", "predicted"])
 
-    out = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` bigint, score double, predicted int")
+    out = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).alias("text")).mapInArrow(lean(run), f"`{id_col}` bigint, score double, predicted int")
     return out.select(id_col, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
@@ -250,8 +259,8 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
     held, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             if batch.num_rows:
                 yield batch.filter(pa.array(held.value.scores(texts(batch.column(place))) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
