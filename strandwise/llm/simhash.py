@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.llm.cluster import NO_ID, components, cut, fresh, partitions
-from strandwise.llm.text import LOWER, Words, mix, parts, slices, texts, window_hashes
+from strandwise.llm.text import LOWER, Words, lean, mix, parts, slices, texts, window_hashes
 
 RADIUS = 3
 SEGMENTS, SEGMENT_BITS = 4, 16
@@ -72,14 +72,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp bigint): the fingerprint's 64 bits as a signed number. A null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             docs_ = texts(batch.column(1))
             fp = [fingerprint_texts(docs_[a:b], shingle) for a, b in slices([len(d) for d in docs_])]
             fp = np.concatenate(fp).view(np.int64) if fp else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=[id_col, "fp"])
 
     kept = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).alias("text"))
-    return kept.mapInArrow(run, f"`{id_col}` bigint, fp bigint")
+    return kept.mapInArrow(lean(run), f"`{id_col}` bigint, fp bigint")
 
 
 def _links(fp: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -164,7 +164,7 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, block: int = BL
             yield batch_of(found(np.ascontiguousarray(held[0])))
 
     dealt = rows.repartition(partitions(rows.sparkSession), "k", "x", "y").sortWithinPartitions("k", "x", "y")
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(lean(run), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
@@ -192,8 +192,12 @@ def hex_print(column: str = "fp"):
 
 # --- documents of a given similarity ------------------------------------------------------------
 
-KEY_BUCKETS_BITS, CELLS_BITS, CELLS_PART = 10, 20, 1 << 14
-PAIRS = 1 << 20
+CELLS_BITS, CELLS_PART = 20, 1 << 14
+BUCKET_KEYS = 1 << 18
+DENSE, MARKED = 2048, 256
+FILTER_BITS = 1 << 22
+FOLD = 4
+FLUSH, PAIRS = 1 << 19, 1 << 20
 
 
 def shingle_sets(docs: list[bytes], shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -225,57 +229,133 @@ def _sets_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(packed), dtype="<u8"), np.repeat(np.arange(len(packed)), [len(x) // 8 for x in packed])
 
 
-def _cells(sets: DataFrame) -> np.ndarray:
-    """How many hashes of the sets (column h) fall into each of 2**CELLS_BITS cells."""
+def _gathered(rows: DataFrame, column: str, size: int, part_size: int, kind: str, count, join) -> np.ndarray:
+    """An array of a fixed size, gathered from all rows: count(batch) gives a task's share of a batch,
+    join(a, b) puts shares together. Parts of it are joined by different tasks."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELLS_BITS, dtype=np.int64)
-        for batch in parts(batches):
-            h, _ = _sets_of(batch.column(0))
-            total += np.bincount((h >> np.uint64(64 - CELLS_BITS)).astype(np.int64), minlength=len(total))
-        yield from packed(range(len(total) // CELLS_PART), total.reshape(-1, CELLS_PART))
+    def packed(part, cells) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([c.tobytes() for c in cells], pa.binary())], names=["part", "c"])
 
-    def packed(part, cells) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([np.minimum(c, 0xFFFFFFFF).astype("<u4").tobytes() for c in cells], pa.binary())], names=["part", "c"])
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, dtype=kind)
+        for batch in parts(batches):
+            total = join(total, count(batch.column(0)))
+        cells = total.reshape(-1, part_size)
+        used = np.flatnonzero(cells.any(axis=1))
+        yield packed(used, cells[used])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[part] = held.get(part, 0) + np.frombuffer(c, "<u4").astype(np.int64)
-        yield from packed(list(held), list(held.values()))
-
-    out = np.zeros((1 << CELLS_BITS) // CELLS_PART * CELLS_PART, dtype=np.uint32)
-    each = sets.select("h").mapInArrow(count, "part int, c binary").repartition(partitions(sets.sparkSession), "part")
-    for r in each.mapInArrow(add, "part int, c binary").collect():  # 4 bytes a cell
-        out[r.part * CELLS_PART : (r.part + 1) * CELLS_PART] = np.frombuffer(r.c, "<u4")
+                c = np.frombuffer(c, kind)
+                held[part] = join(held[part], c) if part in held else c
+        yield packed(list(held), list(held.values()))
+
+    out = np.zeros(size, dtype=kind)
+    each = rows.select(column).mapInArrow(lean(own), "part int, c binary").repartition(partitions(rows.sparkSession), "part")
+    for r in each.mapInArrow(lean(joined), "part int, c binary").collect():  # the array's size
+        out[r.part * part_size : (r.part + 1) * part_size] = np.frombuffer(r.c, kind)
     return out
 
 
+def _cells(sets: DataFrame) -> np.ndarray:
+    """How many hashes of the sets (column h) fall into each of 2**CELLS_BITS cells."""
+
+    def count(column: pa.Array) -> np.ndarray:
+        h, _ = _sets_of(column)
+        return np.bincount((h >> np.uint64(64 - CELLS_BITS)).astype(np.int64), minlength=1 << CELLS_BITS)
+
+    def add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.minimum(a.astype(np.int64) + b, 0xFFFFFFFF).astype("<u4")
+
+    return _gathered(sets, "h", 1 << CELLS_BITS, CELLS_PART, "<u4", count, add)
+
+
+def _having(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sets (fp first) that may be among the wanted ones (fp): a filter of FILTER_BITS bits, so
+    that few of the others are moved."""
+
+    def place(column: pa.Array) -> np.ndarray:
+        return (column.to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+    def mark(column: pa.Array) -> np.ndarray:
+        out = np.zeros(FILTER_BITS, dtype=bool)
+        out[place(column)] = True
+        return np.packbits(out)
+
+    bits = sets.sparkSession.sparkContext.broadcast(_gathered(wanted, "fp", FILTER_BITS // 8, FILTER_BITS // 64, "u1", mark, np.bitwise_or))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(bits.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(held[place(batch.column(0))]))
+
+    return sets.mapInArrow(lean(run), sets.schema)
+
+
 def least_shared(size_a: np.ndarray, size_b: np.ndarray, similarity: float) -> np.ndarray:
     """How many hashes two sets share at the least to resemble each other by ``similarity``."""
     return np.ceil((size_a + size_b) * (similarity / (1 + similarity)) - 1e-9)
 
 
-def _pairs(rows: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
-    """Pairs of sets that share a key and may resemble each other enough. rows: (key, set, size,
-    place of the key in the set's order). A pair's first common key passes both filters."""
+def _fits(size_a: np.ndarray, place_a: np.ndarray, size_b: np.ndarray, place_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether two sets that share a key at these places may resemble each other enough. Their first
+    common key says yes if they do."""
+    return (np.minimum(size_a, size_b) >= similarity * np.maximum(size_a, size_b) - 1e-9) & (np.minimum(size_a - place_a, size_b - place_b) >= least_shared(size_a, size_b, similarity))
+
+
+def _useful(rows: np.ndarray, similarity: float) -> np.ndarray:
+    """The rows (key, set, size and place packed) whose set may resemble another one of its key.
+    A key of over MARKED sets keeps all its rows."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 2], rows[:, 0]))]
+    if len(rows):
+        rows = rows[np.concatenate([[True], np.any(rows[1:, :2] != rows[:-1, :2], axis=1)])]
+    key, size, place = np.ascontiguousarray(rows[:, 0]), rows[:, 2] >> 32, rows[:, 2] & 0xFFFFFFFF
+    new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=bool)
+    many = np.diff(np.append(np.flatnonzero(new), len(key)))
+    keep = np.repeat(many > MARKED, many)
+    at = np.flatnonzero(~keep)
+    for step in range(1, MARKED):
+        at = at[at + step < len(key)]
+        at = at[(key[at] == key[at + step]) & (size[at] >= similarity * size[at + step] - 1e-9)]  # sizes ascend in a key
+        if not len(at):
+            break
+        fits = at[_fits(size[at], place[at], size[at + step], place[at + step], similarity)]
+        keep[fits] = True
+        keep[fits + step] = True
+    return rows[keep]
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
+
+
+def _folded(h: np.ndarray) -> np.ndarray:
+    """64 * FOLD bits: each tells whether an odd number of the hashes fall on it. Two sets differ in as
+    many hashes at least as their bits differ."""
+    bit = mix(h + np.uint64(0xA24BAED4963EE407)) % np.uint64(64 * FOLD)
+    return np.packbits((np.bincount(bit.astype(np.int64), minlength=64 * FOLD) & 1).astype(bool)).view(np.int64)
+
+
+def _cross_pairs(rows: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
+    """Pairs of sets with a common key and different labels that sizes, places and folded bits allow.
+    rows: (key, set, size, place of the key in the set's order, label, folded bits)."""
     rows = rows[np.lexsort((rows[:, 1], rows[:, 2], rows[:, 0]))]
-    same = np.ones(len(rows), dtype=bool)
-    same[1:] = np.any(rows[1:, :2] != rows[:-1, :2], axis=1)
-    key, v, size, place = np.ascontiguousarray(rows[same].T)
+    key, v, size, place, label = np.ascontiguousarray(rows[:, :5].T)
+    bits = np.ascontiguousarray(rows[:, 5:]).view(np.uint64)
     at, held, n = np.arange(len(key)), [], 0
     for step in range(1, len(key)):
         at = at[at + step < len(key)]
-        to = at + step
-        at = at[(key[at] == key[to]) & (size[at] >= similarity * size[to] - 1e-9)]  # sizes ascend in a key
+        at = at[(key[at] == key[at + step]) & (size[at] >= similarity * size[at + step] - 1e-9)]  # sizes ascend in a key
         if not len(at):
             break
-        to = at + step
-        fits = np.minimum(size[at] - place[at], size[to] - place[to]) >= least_shared(size[at], size[to], similarity)
-        a, b = v[at[fits]], v[to[fits]]
-        held.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-        n += len(a)
+        a = at[label[at] != label[at + step]]
+        a = a[_fits(size[a], place[a], size[a + step], place[a + step], similarity)]
+        apart = np.bitwise_count(bits[a] ^ bits[a + step]).sum(axis=1, dtype=np.int64)
+        a = a[(size[a] + size[a + step] - apart) >= 2 * least_shared(size[a], size[a + step], similarity)]
+        held.append(_distinct(v[a], v[a + step]))
+        n += len(held[-1])
         if n > PAIRS:
             yield np.unique(np.concatenate(held), axis=0)
             held, n = [], 0
@@ -283,16 +363,40 @@ def _pairs(rows: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
         yield np.unique(np.concatenate(held), axis=0)
 
 
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """The other columns of the rows of whole groups (sorted; the first ``keys`` columns tell them
+    apart), many small groups at a time."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for c in batch.columns]))
+        if sum(map(len, held)) < FLUSH:
+            continue
+        rows = np.concatenate(held)
+        other = np.flatnonzero(np.any(rows[:, :keys] != rows[-1, :keys], axis=1))
+        done = other[-1] + 1 if len(other) else 0
+        held = [rows[done:]]
+        if done:
+            yield rows[:done]
+    if held and len(held[0]):
+        yield np.concatenate(held)
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """(id, component_id) of every row: documents are linked whose sets of word shingles resemble
     each other by ``similarity`` or more; component_id is the smallest id reachable over links.
 
-    No such pair is lost and no other is linked (up to collisions of 64-bit hashes). In any order of
-    all hashes, two such sets share one of their first n - ceil(similarity * n) + 1 hashes, so these
-    are the keys of a set; rare ones come first, by counts of hash cells. Pairs with a common key
-    that sizes and places allow are then compared by their whole sets. Equal sets are linked without
-    being paired. Texts without words are linked with each other only. Null texts, null, equal and
-    clashing columns as in near_duplicates.
+    No such link between components is lost and no other is made (up to collisions of 64-bit
+    hashes). In any order of all hashes, two such sets share one of their first
+    n - ceil(similarity * n) + 1 hashes, so these are the keys of a set; rare ones come first, by
+    counts of hash cells. Keys that no two possible partners share go at once. Then every set is
+    compared, whole, with two sets of each of its keys, picked by hashes: that joins a group of near
+    copies without pairing it in full. Last, every pair with a common key that is not joined yet, and
+    that sizes, places and folded bits allow, is compared likewise; a key that many sets of different
+    components hold is dealt over pairs of blocks. Equal sets are linked without being paired. Texts
+    without words are linked with each other only. Null texts, null, equal and clashing columns as in
+    near_duplicates.
     """
     spark = docs.sparkSession
     held = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id_"), F.col(text_col).alias("text"))
@@ -307,65 +411,131 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
                 packed = [h[x:y].tobytes() for x, y in zip(low[:-1], low[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fp), pa.array(packed, pa.binary())], names=["id_", "fp", "h"])
 
-    sets = cut(held.mapInArrow(prints_of, "id_ bigint, fp bigint, h binary"))
-    cells = spark.sparkContext.broadcast(_cells(sets))
+    sets = held.mapInArrow(lean(prints_of), "id_ bigint, fp bigint, h binary")  # made anew where needed: cheaper than to keep
+    counts = _cells(sets)
+    cells = spark.sparkContext.broadcast(counts)
+    bits = min(30, max(8, int(counts.sum(dtype=np.int64) * (1 - similarity) / BUCKET_KEYS).bit_length()))
+
+    def keys_in(fp: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(key, set, size, place) of the keys of some sets, and the number of each key's set."""
+        h, owner = _sets_of(column)
+        order = np.lexsort((mix(h), cells.value[(h >> np.uint64(64 - CELLS_BITS)).astype(np.int64)], owner))
+        size = np.bincount(owner, minlength=len(fp))
+        place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+        first = place < (size - np.ceil(similarity * size - 1e-9) + 1)[owner]
+        h, owner, place = h[order[first]], owner[first], place[first]
+        return np.column_stack([h.view(np.int64), fp[owner], size[owner], place]), owner
+
+    def bucket_of_key(key: np.ndarray) -> np.ndarray:
+        return (mix(np.ascontiguousarray(key).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def packed_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(bucket, x): the keys of different sets, (key, set, size and place) packed by bucket."""
+        waiting, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            rows = np.unique(np.concatenate(waiting), axis=0)
+            bucket = bucket_of_key(rows[:, 0])
+            order = np.argsort(bucket, kind="stable")
+            bucket, rows = bucket[order], rows[order]
+            edge = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket))
+            return pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]], pa.int32()), pa.array([rows[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], names=["bucket", "x"])
 
-    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            fp = batch.column(0).to_numpy()
-            h, owner = _sets_of(batch.column(1))
-            order = np.lexsort((mix(h), cells.value[(h >> np.uint64(64 - CELLS_BITS)).astype(np.int64)], owner))
-            size = np.bincount(owner, minlength=len(fp))
-            place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-            first = place < (size - np.ceil(similarity * size - 1e-9) + 1)[owner]
-            h, owner, place = h[order[first]], owner[first], place[first]
-            order = np.argsort(h)
-            h, owner, place = h[order], owner[order], place[order]
-            rows = np.column_stack([h.view(np.int64), fp[owner], (size[owner] << 32) | place])
-            bucket = (h >> np.uint64(64 - KEY_BUCKETS_BITS)).astype(np.int32)
-            edge = np.searchsorted(bucket, np.arange((1 << KEY_BUCKETS_BITS) + 1))
-            used = np.flatnonzero(np.diff(edge))
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([rows[edge[k] : edge[k + 1]].tobytes() for k in used], pa.binary())], names=["bucket", "x"])
-
-    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held_ = None, []
-
-        def found() -> Iterator[pa.RecordBatch]:
-            x = np.frombuffer(b"".join(held_), dtype="<i8").reshape(-1, 3)
-            for ab in _pairs(np.column_stack([x[:, :2], x[:, 2] >> 32, x[:, 2] & 0xFFFFFFFF]), similarity):
-                yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
+            fp, once = np.unique(batch.column(0).to_numpy(), return_index=True)
+            rows = keys_in(fp, batch.column(1).take(pa.array(once)))[0]
+            waiting.append(np.column_stack([rows[:, :2], rows[:, 2] << 32 | rows[:, 3]]))
+            n += len(rows)
+            if n > FLUSH:
+                yield out()
+                waiting, n = [], 0
+        if n:
+            yield out()
+
+    def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A bucket's rows of keys that possible partners share."""
+        now, rows, n, crowded = None, [], 0, False
+
+        def out(whole: bool) -> pa.RecordBatch:
+            x = np.concatenate(rows)
+            x = _useful(x, similarity) if whole else x
+            cols = (x[:, 0], x[:, 1], x[:, 2] >> 32, x[:, 2] & 0xFFFFFFFF)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["k", "fp", "size", "place"])
 
         for batch in batches:
             for bucket, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if bucket != now and held_:
-                    yield from found()
-                    held_ = []
+                if bucket != now and rows:
+                    yield out(not crowded)
+                    rows, n, crowded = [], 0, False
                 now = bucket
-                held_.append(x)
-        if held_:
-            yield from found()
+                rows.append(np.frombuffer(x, "<i8").reshape(-1, 3))
+                n += len(rows[-1])
+                if n > 4 * FLUSH:  # a key that very many sets hold: its bucket goes on unsifted
+                    yield out(False)
+                    rows, n, crowded = [], 0, True
+        if rows:
+            yield out(not crowded)
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            x = [_folded(np.frombuffer(h, "<u8")) for h in batch.column(1).to_pylist()]
+            x = np.stack(x) if x else np.zeros((0, FOLD), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in x.T)], names=["fp", *(f"b{k}" for k in range(FOLD))])
+
+    def cross_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches, 3):
+            new = np.concatenate([[True], np.any(rows[1:, :3] != rows[:-1, :3], axis=1)])
+            rows = rows[:, 2:]
+            rows[:, 0] = np.cumsum(new)
+            for ab in _cross_pairs(rows, similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                both = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
+                least, both = min(len(x), len(y)) // 8, 0
+                if least >= similarity * max(len(x), len(y)) / 8 - 1e-9:
+                    both = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
                 keep.append(both >= similarity * ((len(x) + len(y)) // 8 - both) - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    keys = sets.select("fp", "h").mapInArrow(keys_of, "bucket int, x binary")
-    dealt = keys.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
-    pairs = cut(dealt.mapInArrow(pairs_of, "a bigint, b bigint").distinct())
-    touched = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    whole = cut(sets.join(touched, "fp", "left_semi").groupBy("fp").agg(F.first("h").alias("h")))
-    both = pairs.join(whole.select(F.col("fp").alias("a"), F.col("h").alias("x")), "a").join(whole.select(F.col("fp").alias("b"), F.col("h").alias("y")), "b")
-    stars = components(both.select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint"))
-    own = sets.groupBy("fp").agg(F.min("id_").alias("least"))
+    def checked(pairs: DataFrame) -> DataFrame:
+        """The pairs whose whole sets resemble each other enough."""
+        both = pairs.join(whole.select(F.col("fp").alias("a"), F.col("h").alias("x")), "a").join(whole.select(F.col("fp").alias("b"), F.col("h").alias("y")), "b")
+        return both.select("a", "b", "x", "y").mapInArrow(lean(alike), "a bigint, b bigint")
+
+    dealt = sets.select("fp", "h").mapInArrow(lean(packed_keys), "bucket int, x binary").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
+    rows = cut(dealt.mapInArrow(lean(shared_keys), "k bigint, fp bigint, size bigint, place bigint"))
+    touched = rows.select("fp").distinct()
+    whole = cut(_having(sets.select("fp", "h"), touched).join(touched, "fp", "left_semi").groupBy("fp").agg(F.first("h").alias("h")))
+
+    # two sets of each key and class of sizes, and of the class below: partners lie in neighbouring classes
+    graded = rows.withColumn("step", F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / F.lit(float(-np.log(similarity) * (1 + 1e-9)))))
+    picked = F.array(*[F.min(F.struct(F.xxhash64(F.lit(turn), "fp").alias("o"), F.col("fp").alias("other"), F.col("size").alias("s2"), F.col("place").alias("p2"))) for turn in (0, 1)])
+    picked = graded.groupBy("k", "step").agg(picked.alias("x"))
+    picked = picked.select("k", F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("step"), "x").select("k", "step", F.inline("x")).drop("o").distinct()
+    fits = (F.least("size", "s2") >= similarity * F.greatest("size", "s2") - 1e-9) & (F.least(F.col("size") - F.col("place"), F.col("s2") - F.col("p2")) >= F.ceil((F.col("size") + F.col("s2")) * (similarity / (1 + similarity)) - 1e-9))
+    pairs = cut(graded.join(picked, ["k", "step"]).where((F.col("fp") != F.col("other")) & fits).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct())
+    links = cut(checked(pairs))
+    stars = components(links)
+
+    labelled = whole.mapInArrow(lean(folded), "fp bigint, " + ", ".join(f"b{k} bigint" for k in range(FOLD))).join(stars.select(F.col("v").alias("fp"), "label"), "fp", "left")
+    rows = cut(rows.join(labelled.withColumn("label", F.coalesce("label", "fp")), "fp"))
+    mixed = rows.groupBy("k").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("n")).where("l <> m").select("k", F.ceil(F.col("n") / DENSE).cast("int").alias("m"))
+    rows = rows.join(mixed, "k").withColumn("r", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    rows = rows.select("k", F.least("r", "j").alias("i"), F.greatest("r", "j").alias("j"), "fp", "size", "place", "label", *(f"b{k}" for k in range(FOLD)))
+    rows = rows.repartition(partitions(spark), "k", "i", "j").sortWithinPartitions("k", "i", "j")
+    more = checked(cut(rows.mapInArrow(lean(cross_of), "a bigint, b bigint").distinct()))
+    stars = components(links.unionByName(more))
+    prints = cut(sets.select("id_", "fp"))
+    own = prints.groupBy("fp").agg(F.min("id_").alias("least"))
     place = own.join(stars, own.fp == stars.v, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     root = place.groupBy("label").agg(F.min("least").alias("component_id"))
     named = place.join(root, "label").select("fp", "component_id")
     back = lambda c: F.when(F.col(c) != F.lit(NO_ID), F.col(c))
-    return sets.select("id_", "fp").join(named, "fp").select(back("id_").alias(id_col), back("component_id").alias("component_id"))
+    return prints.join(named, "fp").select(back("id_").alias(id_col), back("component_id").alias("component_id"))
 
 
 def without_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
