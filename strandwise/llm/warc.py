@@ -13,24 +13,28 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandwise.llm.text import lean
+
 VERSION = b"WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
 
-_DROPPED = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<!doctype[^>]*>", re.S | re.I)
-_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|title|pre|blockquote)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[^>]*>")
+# What is not closed runs to the end of the page, so that no page is scanned again and again.
+_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)|<!doctype[^>]*(?:>|\Z)", re.S | re.I)
+_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|title|pre|blockquote)\b[^>]*(?:>|\Z)", re.I)
+_TAG = re.compile(r"<(?=[A-Za-z/!?])[^>]*(?:>|\Z)")
 _BLANK = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r"\s*\n\s*")
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
+_LINK = re.compile(r"<a\b[^<>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TITLE = re.compile(r"<title[^<>]*>(.*?)(?:</title>|\Z)", re.S | re.I)
+_LANG = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
 
 
 def digest(data: bytes) -> str:
@@ -57,7 +61,10 @@ def _one_line(value: str) -> str:
 def parse(data: bytes) -> list[tuple[list[tuple[str, str]], bytes]]:
     """The records of some bytes (gzip members or plain), as headers and block."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        try:
+            data = gzip.decompress(data)
+        except (OSError, EOFError, zlib.error) as error:
+            raise ValueError(f"damaged gzip: {error}") from error
     out, at = [], 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
@@ -66,6 +73,8 @@ def parse(data: bytes) -> list[tuple[list[tuple[str, str]], bytes]]:
             raise ValueError("not a WARC record")
         headers = [(k.strip(), v.strip()) for k, _, v in (x.decode().partition(":") for x in lines[1:])]
         size = int(_get(headers, "Content-Length") or 0)
+        if size < 0:
+            raise ValueError("a record of negative length")
         block = data[end + 4 : end + 4 + size]
         if len(block) < size:
             raise ValueError("a record is cut short")
@@ -125,7 +134,7 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[id_col, "response"])
 
     held = pages.select(F.col(id_col).cast("bigint").alias(id_col), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return held.mapInArrow(run, f"`{id_col}` bigint, response binary")
+    return held.mapInArrow(lean(run), f"`{id_col}` bigint, response binary")
 
 
 DERIVED = "response_id string, metadata_id string, conversion_id string, payload_digest string, text_digest string, n_links bigint, title string, text string, metadata binary, conversion binary, error string"
@@ -133,7 +142,7 @@ DERIVED = "response_id string, metadata_id string, conversion_id string, payload
 
 def derivatives(records: DataFrame, id_col: str = "page_id", response_col: str = "response") -> DataFrame:
     """The linked metadata and conversion records of every response record (bytes), with their ids,
-    digests and text. A null or broken record gives a row with its error and nulls elsewhere; null
+    digests and text. A null, damaged or cut record, or one of negative length, gives a row with its error and nulls elsewhere; null
     ids come back null; repeated rows give repeated rows; an empty table gives none."""
     names = [id_col, *(x.split()[0] for x in DERIVED.split(", "))]
     kinds = {"n_links": pa.int64(), "metadata": pa.binary(), "conversion": pa.binary()}
@@ -151,4 +160,4 @@ def derivatives(records: DataFrame, id_col: str = "page_id", response_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=names)
 
     held = records.select(F.col(id_col).cast("bigint").alias(id_col), F.col(response_col).alias("response"))
-    return held.mapInArrow(run, f"`{id_col}` bigint, {DERIVED}")
+    return held.mapInArrow(lean(run), f"`{id_col}` bigint, {DERIVED}")
