@@ -2,7 +2,8 @@
 
 A sketch holds every distinct shingle hash in the lowest ``1/SCALE`` of the hash range, so two
 sketches can be united, and compared whatever the texts' lengths: the same hashes are retained on
-both sides. A text whose hashes all lie above keeps its smallest one.
+both sides. A text whose hashes all lie above has an empty sketch; a hash of all its shingles beside it
+tells such texts apart.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ def word_hashes(text: Column) -> Column:
 
 
 def sketch_of(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
-    """The ascending distinct retained hashes. Fewer words than a shingle: one shingle of all of
-    them; none: an empty sketch."""
+    """struct<kept, whole>: the ascending distinct retained hashes, and where a text has shingles but
+    none of them is retained, a hash of all of them. Fewer words than a shingle: one shingle of all
+    of them; none: nothing retained, and whole is null."""
     most = -(1 << 63) + (1 << 64) // scale - 1
 
     def shingles(h: Column) -> Column:
@@ -34,30 +36,37 @@ def sketch_of(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Colum
         return F.when(F.size(h) >= shingle, F.transform(F.sequence(F.lit(0), F.size(h) - shingle), at)).otherwise(short)
 
     def retained(s: Column) -> Column:
-        least = F.when(F.size(s) > 0, F.array(F.array_min(s))).otherwise(s)
-        return let(F.filter(s, lambda x: x <= F.lit(most)), lambda k: F.when(F.size(k) > 0, F.array_sort(F.array_distinct(k))).otherwise(least))
+        whole = lambda k: F.when((F.size(k) == 0) & (F.size(s) > 0), F.xxhash64(F.array_sort(F.array_distinct(s))))
+        return let(F.filter(s, lambda x: x <= F.lit(most)), lambda k: F.struct(F.array_sort(F.array_distinct(k)).alias("kept"), whole(k).alias("whole")))
 
     return let(let(word_hashes(text), shingles), retained)
 
 
 def merge(a: Column, b: Column) -> Column:
-    """The sketch of two texts together."""
+    """The retained hashes of two texts together."""
     return F.array_sort(F.array_union(a, b))
 
 
 def likeness(a: str, b: str) -> Column:
-    """Estimated resemblance: shared over all retained hashes. Two empty sketches: 1."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
+    """Estimated resemblance: shared over all retained hashes. Where neither retains any: 1 if both
+    have the same shingles (or none), else 0."""
+    both = F.size(F.array_intersect(f"{a}.kept", f"{b}.kept"))
+    sizes = F.size(f"{a}.kept") + F.size(f"{b}.kept")
+    return F.when(sizes > 0, both / (sizes - both)).otherwise(F.col(f"{a}.whole").eqNullSafe(F.col(f"{b}.whole")).cast("double"))
 
 
 def containment(a: str, b: str) -> Column:
-    """Estimated share of a's shingles that b has too. An empty a: 1."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    """Estimated share of a's shingles that b has too. An a that retains none: 1 if it has no
+    shingles or the same ones as b, else 0."""
+    none = F.col(f"{a}.whole").isNull() | F.col(f"{a}.whole").eqNullSafe(F.col(f"{b}.whole"))
+    return F.when(F.size(f"{a}.kept") > 0, F.size(F.array_intersect(f"{a}.kept", f"{b}.kept")) / F.size(f"{a}.kept")).otherwise(none.cast("double"))
 
 
 def as_text(sketch: str) -> Column:
-    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+    """Retained hashes, 16 digits each; where none is, the hash of all shingles after a tilde."""
+    digits = lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")
+    none = F.coalesce(F.concat(F.lit("~"), digits(F.col(f"{sketch}.whole"))), F.lit(""))
+    return F.when(F.size(f"{sketch}.kept") > 0, F.array_join(F.transform(f"{sketch}.kept", digits), "")).otherwise(none)
 
 
 def with_next(rows: DataFrame, columns: list[str], n: int) -> DataFrame:
@@ -94,7 +103,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Returns (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
     in_edited, in_next): near_* is resemblance, in_* the share of this text's shingles found there.
     A null text is empty (an empty fingerprint, all likenesses 1 to another empty text and 0 to any
-    other); a null id comes first in the order and back null; equal ids follow each other by text;
+    other); short texts may retain no hash, then only equal shingles count as alike; a null id comes first in the order and back null; equal ids follow each other by text;
     an empty table gives no rows.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
