@@ -8,14 +8,14 @@ the item's slots stands for one value in the document's.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwise.llm.cluster import fresh, let
 
-WINDOW = 8
+WINDOW, SHORTEST = 8, 4
 COVERAGE = 0.5
-BROADCAST_WINDOWS = 2_000_000
+BROADCAST_BYTES = 64 << 20
 NUMBER, NAME, UNIT = "\u0001", "\u0002", "\u0003"
 UNITS = "kg|mg|g|lb|lbs|oz|km|cm|mm|m|mi|mile|miles|meter|meters|metre|metres|inch|inches|foot|feet|yard|yards|l|ml|liter|liters|litre|litres|s|sec|second|seconds|min|minute|minutes|h|hour|hours|day|days|week|weeks|month|months|year|years|dollar|dollars|cent|cents|euro|euros|usd|eur|percent|mph|kmh"
 #: A capital word within a sentence: after a word in lower case, a number or a comma.
@@ -75,23 +75,42 @@ def _literal(window: int) -> Column:
     return F.coalesce(F.size("slots"), F.lit(0)) * 2 <= window
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def item_windows(benchmark: DataFrame, item_col: str, text: str, window: int) -> DataFrame:
+    """(item_, ipos, h, islots, exact, n): the windows that stand for an item, of n words: of
+    ``window`` words, or the whole template of an item with fewer (but SHORTEST at least). Windows
+    of slots for the most part stand only for items that have no others, and then match only with
+    their own values (exact)."""
+    size = F.size(_words(template(marked(F.col(text)))))
+    found = None
+    for n in range(min(SHORTEST, window), window + 1):
+        own = benchmark.where(size >= n if n == window else size == n)
+        part = windows(own, item_col, text, n).select("*", _literal(n).alias("plain"), F.lit(n).alias("n"))
+        found = part if found is None else found.unionByName(part)
+    found = found.where(F.col("id_").isNotNull()).withColumn("any", F.max("plain").over(Window.partitionBy("id_")))
+    return found.where("plain or not any").select(F.col("id_").alias("item_"), F.col("pos").alias("ipos"), "h", F.col("slots").alias("islots"), (~F.col("plain")).alias("exact"), "n")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Rows (id, item id, matched, item_windows, coverage, slots, changed): the documents that hold
     at least ``coverage`` of an item's windows with consistent slots; changed counts the slots whose
     value differs from the item's.
 
-    Items and documents with fewer words than a window have no windows and never match; so do null
-    texts and rows with a null id. Windows of slots for the most part are left out of an item's.
-    Rows that share a document id count as one document, those that share an item id as one item.
-    The benchmark's windows are broadcast if there are at most broadcast_windows, else both sides
-    are shuffled by the hash. Empty tables give no rows.
+    An item with fewer template words than a window has its whole template as its only window; with
+    fewer than SHORTEST it never matches, nor do null texts and rows with a null id. Windows of slots
+    for the most part stand only for items without others and match only with the same values. Rows
+    that share a document id count as one document, those that share an item id as one item. The
+    benchmark's windows are broadcast if they take at most broadcast_bytes, else both sides are
+    shuffled by the hash. Empty tables give no rows.
     """
-    items = windows(benchmark, item_col, item_text_col, window).where(_literal(window) & F.col("id_").isNotNull())
-    items = items.select(F.col("id_").alias("item_"), F.col("pos").alias("ipos"), "h", F.col("slots").alias("islots"))
+    items = item_windows(benchmark, item_col, item_text_col, window)
     size = items.groupBy("item_").agg(F.countDistinct("ipos").alias("item_windows"))
-    few = items.count() <= broadcast_windows
-    small = F.broadcast if few else (lambda x: x)
-    found = windows(docs, id_col, text_col, window).where(F.col("id_").isNotNull()).join(small(items), "h")
+    lengths = items.groupBy("n").agg(F.sum(48 + F.coalesce(F.length(F.array_join("islots", " ")), F.lit(0)) + 16 * F.coalesce(F.size("islots"), F.lit(0))).alias("bytes")).collect()  # a row for each length
+    small = F.broadcast if sum(r.bytes for r in lengths) <= broadcast_bytes else (lambda x: x)
+    found = None
+    for n in sorted({window} | {r.n for r in lengths}):
+        part = windows(docs, id_col, text_col, n).where(F.col("id_").isNotNull()).join(small(items.where(F.col("n") == n)), "h")
+        found = part if found is None else found.unionByName(part)
+    found = found.where(~F.col("exact") | F.col("islots").eqNullSafe(F.col("slots")))
     pairs = F.coalesce(F.arrays_zip(F.col("islots").alias("i"), F.col("slots").alias("d")), F.array().cast("array<struct<i:string,d:string>>"))
     lined = found.groupBy("id_", "item_", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"))
     lined = lined.where(F.size(F.array_distinct(F.transform("slots", lambda x: x.i))) == F.size("slots"))
