@@ -1,14 +1,14 @@
 """Language-model scores by masked pseudo-likelihood.
 
 A network sees the two words before and the two after a place, never the word itself, and predicts
-it: embeddings of the four, one hidden layer, a softmax over word classes; within its class a word
-has its share of the corpus count, every word its own. A document's score is the sum of the
-log-probabilities of all its words.
+it: embeddings of the four, one hidden layer, a softmax over word classes and a softmax over the
+words of the class, which starts from their shares of the corpus count. A document's score is the
+sum of the log-probabilities of all its words.
 
 Everything is gathered from the whole corpus. Word counts: every task counts its words and shuffles
 them packed by hash into a table of all words; the network tells the most frequent apart and sees
-the others as hash buckets. Scores join the table for the words it does not tell apart; one that
-the table lacks counts ``UNSEEN``, less than any word of the corpus. The network: in each round every
+the others as hash buckets, where each word has its share of the bucket's count. Scores join the
+table for the words it does not tell apart; one that the table lacks counts ``UNSEEN``, less than any word of the corpus. The network: in each round every
 task takes the last round's parameters, runs one pass of gradient steps over its own rows, and the
 results are averaged by words. What is gathered so grows with the corpus; what reaches the driver
 is bounded by the vocabulary and the network.
@@ -26,11 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.llm.cluster import cut, partitions
-from strandwise.llm.text import LOWER, Words, parts, slices, texts
+from strandwise.llm.text import LOWER, Words, lean, parts, slices, texts
 
 VOCAB, RARE, CLASSES = 4096, 256, 48
 DIM, HIDDEN = 8, 24
 ROUNDS, STRIDE, BATCH, RATE = 4, 4, 512, 0.4
+STEPS, ROWS, CELL = 8, 1024, 4096
 SCORED = 16384
 SIDE = 2
 BUCKETS = 1024
@@ -45,10 +46,41 @@ class Model:
     words: np.ndarray
     number: np.ndarray
     group: np.ndarray  # class of each id
-    inside: np.ndarray  # log share of each id in its class; of a bucket: that of one occurrence
-    params: list[np.ndarray]  # embeddings, hidden weights and bias, output weights and bias
+    share: np.ndarray  # log share of each id in its class
+    mass: np.ndarray  # log count of each bucket of rare words, 0 for single words
+    params: list[np.ndarray]  # embeddings, hidden weights and bias, output weights and bias, word weights by class
     table: DataFrame | None = None  # the counts of all words (word_table); stays on the driver
 
+    def __post_init__(self) -> None:
+        order = np.argsort(self.group, kind="stable")
+        self.low = np.searchsorted(self.group[order], np.arange(CLASSES + 1))
+        self.place = np.empty(len(order), dtype=np.int64)
+        self.place[order] = np.arange(len(order))
+        self.bias = self.share[order].astype(np.float32)
+
+    def within(self, hidden: np.ndarray, target: np.ndarray, rate: float = 0.0) -> np.ndarray:
+        """Log-probabilities of the targets within their classes; with a rate, also a step down
+        their gradient for each class."""
+        out, weights = np.zeros(len(target)), self.params[5]
+        group = self.group[target]
+        order = np.argsort(group.astype(np.uint8), kind="stable")
+        edge = np.searchsorted(group[order], np.arange(CLASSES + 1))
+        for c in np.flatnonzero((np.diff(edge) > 0) & (np.diff(self.low) > 1)):
+            own = slice(self.low[c], self.low[c + 1])
+            for low in range(edge[c], edge[c + 1], ROWS):
+                at = order[low : min(low + ROWS, edge[c + 1])]
+                h, k = hidden[at], (np.arange(len(at)), self.place[target[at]] - self.low[c])
+                z = h @ weights[own].T + self.bias[own]
+                z -= z.max(axis=1, keepdims=True)
+                p = np.exp(z)
+                total = p.sum(axis=1)
+                out[at] = z[k] - np.log(total)
+                if rate:
+                    p /= total[:, None]
+                    p[k] -= 1
+                    weights[own] -= (rate / len(at)) * (p.T @ h)
+        return out
+
     def ids(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids with SIDE end marks after each text, the places of words, words by text, and hashes."""
         words = Words(docs, table=LOWER)
@@ -68,13 +100,13 @@ class Model:
 def start_params(seed: int = 3) -> list[np.ndarray]:
     rng = np.random.default_rng(seed)
     width = 2 * SIDE * DIM
-    shapes = [((VOCAB + RARE + 1, DIM), 0.3), ((width, HIDDEN), width**-0.5), ((HIDDEN,), 0.0), ((HIDDEN, CLASSES), 0.1), ((CLASSES,), 0.0)]
+    shapes = [((VOCAB + RARE + 1, DIM), 0.3), ((width, HIDDEN), width**-0.5), ((HIDDEN,), 0.0), ((HIDDEN, CLASSES), 0.1), ((CLASSES,), 0.0), ((VOCAB + RARE + 1, HIDDEN), 0.0)]
     return [(rng.normal(0, 1, s) * scale).astype(np.float32) for s, scale in shapes]
 
 
 def forward(params: list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Inputs, hidden values and log-probabilities of classes."""
-    embed, w1, b1, w2, b2 = params
+    embed, w1, b1, w2, b2, _ = params
     x = embed[context].reshape(len(context), -1)
     hidden = np.tanh(x @ w1 + b1)
     z = hidden @ w2 + b2
@@ -87,9 +119,10 @@ def around(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([ids[at + k] for k in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1)
 
 
-def step(params: list[np.ndarray], context: np.ndarray, target: np.ndarray, rate: float) -> None:
-    """One step down the gradient of the mean negative log-probability, in place."""
-    embed, w1, b1, w2, b2 = params
+def step(params: list[np.ndarray], context: np.ndarray, target: np.ndarray, rate: float) -> np.ndarray:
+    """One step down the gradient of the classes' mean negative log-probability, in place. Returns
+    the hidden values."""
+    embed, w1, b1, w2, b2, _ = params
     x, hidden, z = forward(params, context)
     d = np.exp(z)
     d[np.arange(len(target)), target] -= 1
@@ -103,6 +136,7 @@ def step(params: list[np.ndarray], context: np.ndarray, target: np.ndarray, rate
     flat = context.reshape(-1)
     for k in range(DIM):  # bincount sums repeated rows
         embed[:, k] -= rate * 8 * np.bincount(flat, d_x[:, k], len(embed)).astype(np.float32)
+    return hidden
 
 
 def _bucket_spans(h: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -154,9 +188,9 @@ def word_table(docs: DataFrame) -> DataFrame:
         if held:
             yield row()
 
-    packed = docs.mapInArrow(count, "bucket int, h binary, n binary")
+    packed = docs.mapInArrow(lean(count), "bucket int, h binary, n binary")
     dealt = packed.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return cut(dealt.mapInArrow(total, "bucket int, h binary, n binary"))
+    return cut(dealt.mapInArrow(lean(total), "bucket int, h binary, n binary"))
 
 
 def word_counts(docs: DataFrame, most: int = VOCAB, table: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,7 +211,7 @@ def word_counts(docs: DataFrame, most: int = VOCAB, table: DataFrame | None = No
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([top_h.view(np.int64), used])), pa.array(np.concatenate([top_n, rest[used]])), pa.array([False] * len(top_h) + [True] * len(used))], names=["h", "n", "rest"])
 
     table = word_table(docs) if table is None else table
-    found = table.mapInArrow(add, "h bigint, n bigint, rest boolean").persist()
+    found = table.mapInArrow(lean(add), "h bigint, n bigint, rest boolean").persist()
     # few partitions, as each sends its own ``most`` to the driver
     top = found.where("not rest").coalesce(8).orderBy(F.desc("n"), "h").limit(most).collect()
     last = F.lit(False) if len(top) < most else (F.col("n") < top[-1].n) | ((F.col("n") == top[-1].n) & (F.col("h") > top[-1].h))
@@ -199,37 +233,46 @@ def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rounds(docs: DataFrame, model: Model, rounds: int, stride: int) -> None:
-    sizes = [p.size for p in model.params]
-    shapes = [p.shape for p in model.params]
+    spark, shapes = docs.sparkSession, [p.shape for p in model.params]
     for turn in range(rounds):
-        held = docs.sparkSession.sparkContext.broadcast(replace(model, table=None))
+        held = spark.sparkContext.broadcast(replace(model, table=None))
 
         def run(batches: Iterator[pa.RecordBatch], held=held, turn=turn) -> Iterator[pa.RecordBatch]:
-            own = held.value
-            params, seen = [p.copy() for p in own.params], 0
+            own = replace(held.value, params=[p.copy() for p in held.value.params])
+            seen = 0
             for batch in parts(batches):
                 docs_ = texts(batch.column(0))
                 for a, b in slices([len(d) for d in docs_], 1 << 20):
                     ids, at, _, _ = own.ids(docs_[a:b])
                     k = np.arange(len(at))
                     at = at[(k + k // stride) % stride == turn % stride]  # another one of each stride places in each round
-                    for k in range(0, len(at), BATCH):
-                        part = at[k : k + BATCH]
-                        step(params, around(ids, part), own.group[ids[part]], RATE * len(part) / BATCH)
+                    for low in range(0, len(at), STEPS * BATCH):
+                        hidden = []
+                        for k in range(low, min(low + STEPS * BATCH, len(at)), BATCH):
+                            part = at[k : k + BATCH]
+                            hidden.append(step(own.params, around(ids, part), own.group[ids[part]], RATE * len(part) / BATCH))
+                        own.within(np.concatenate(hidden), ids[at[low : low + STEPS * BATCH]], RATE)
                     seen += len(at)
             if seen:
-                flat = np.concatenate([p.reshape(-1) for p in params]).astype(np.float64)
-                cells = [(flat[k : k + 1024] * seen).tolist() for k in range(0, len(flat), 1024)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(cells)), pa.int32()), pa.array([seen] * len(cells), pa.int64()), pa.array(cells, pa.list_(pa.float64()))], names=["part", "seen", "x"])
-
-        each = docs.mapInArrow(run, "part int, seen bigint, x array<double>").select("part", "seen", F.posexplode("x").alias("k", "v"))
-        total = each.groupBy("part", "k").agg(F.sum("v").alias("v"), F.sum("seen").alias("seen")).select((F.col("part") * 1024 + F.col("k")).alias("at"), (F.col("v") / F.col("seen")).alias("v"))
-        got = total.toPandas()  # as many rows as the network has parameters
-        if not len(got):
+                flat = np.concatenate([p.reshape(-1) for p in own.params]).astype("<f8") * seen
+                cells = [flat[k : k + CELL].tobytes() for k in range(0, len(flat), CELL)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(cells)), pa.int32()), pa.array([seen] * len(cells), pa.int64()), pa.array(cells, pa.binary())], names=["part", "seen", "x"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, tuple[int, np.ndarray]] = {}
+            for batch in batches:
+                for part, seen, x in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    n, sums = total.get(part, (0, 0.0))
+                    total[part] = n + seen, sums + np.frombuffer(x, "<f8")
+            yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([n for n, _ in total.values()], pa.int64()), pa.array([x.tobytes() for _, x in total.values()], pa.binary())], names=["part", "seen", "x"])
+
+        each = docs.mapInArrow(lean(run), "part int, seen bigint, x binary").repartition(partitions(spark), "part")
+        got = sorted(each.mapInArrow(lean(add), "part int, seen bigint, x binary").collect())  # as large as the network
+        if not got:
             return
-        flat = np.zeros(sum(sizes), dtype=np.float32)
-        flat[got["at"].to_numpy()] = got["v"].to_numpy()
-        model.params = [x.reshape(s) for x, s in zip(np.split(flat, np.cumsum(sizes)[:-1]), shapes, strict=True)]
+        flat = np.concatenate([np.frombuffer(r.x, "<f8") / r.seen for r in got]).astype(np.float32)
+        edge = np.cumsum([0, *(p.size for p in model.params)])
+        model.params = [flat[a:b].reshape(s) for a, b, s in zip(edge[:-1], edge[1:], shapes, strict=True)]
 
 
 def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> Model:
@@ -243,9 +286,10 @@ def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride: i
     words, counts, rare = word_counts(held, table=table)
     order = np.argsort(words)
     full = np.concatenate([np.pad(counts, (0, VOCAB - len(counts))), rare, [0]]) + 1
-    group, inside = classes_of(full)
-    inside[VOCAB : VOCAB + RARE] -= np.log(full[VOCAB : VOCAB + RARE])
-    model = Model(words[order], order, group, inside, start_params(), table)
+    group, share = classes_of(full)
+    mass = np.zeros(len(full))
+    mass[VOCAB : VOCAB + RARE] = np.log(full[VOCAB : VOCAB + RARE])
+    model = Model(words[order], order, group, share, mass, start_params(), table)
     _rounds(held, model, rounds, stride)
     return model
 
@@ -280,13 +324,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 logs = np.zeros(len(at) + 1)
                 for k in range(0, len(at), SCORED):
                     part = at[k : k + SCORED]
-                    z = forward(own.params, around(ids, part))[2]
+                    _, hidden, z = forward(own.params, around(ids, part))
                     target = ids[part]
-                    logs[1 + k : 1 + k + len(part)] = z[np.arange(len(part)), own.group[target]] + own.inside[target]
+                    logs[k : k + len(part)] = z[np.arange(len(part)), own.group[target]] + own.within(hidden, target) - own.mass[target]
                 edge = np.concatenate([[0], np.cumsum(n)])
-                total = np.cumsum(logs)
                 n_words.append(n)
-                sums.append(total[edge[1:]] - total[edge[:-1]])
+                sums.append(np.where(n > 0, np.add.reduceat(logs, edge[:-1]), 0.0))
                 rare = np.flatnonzero(ids[at] >= VOCAB)
                 rare_h.append(h[rare])
                 rare_at.append((np.repeat(np.arange(a, b), n)[rare]).astype("<u2"))
@@ -350,11 +393,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         if ids:
             yield out()
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).alias("text")).mapInArrow(run, PACKED)
+    rows = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).alias("text")).mapInArrow(lean(run), PACKED)
     if model.table is not None:
         none = [F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<bigint>"), ("counts", "array<bigint>"), ("sums", "array<double>"))]
         rows = rows.unionByName(model.table.select(F.lit(0).alias("kind"), "bucket", F.lit(None).cast("bigint").alias("base"), "h", F.col("n").alias("x"), *none))
     dealt = rows.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "kind")
-    back = dealt.mapInArrow(look_up, PACKED).repartition(partitions(spark), "base").sortWithinPartitions("base", "kind")
-    out = back.mapInArrow(add, f"`{id_col}` bigint, n_words bigint, log_prob double")
+    back = dealt.mapInArrow(lean(look_up), PACKED).repartition(partitions(spark), "base").sortWithinPartitions("base", "kind")
+    out = back.mapInArrow(lean(add), f"`{id_col}` bigint, n_words bigint, log_prob double")
     return out.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))
