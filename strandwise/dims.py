@@ -250,3 +250,41 @@ MIT_WEIGHTS = [0, 0, 0.014, 0, 0, 0.395, 0.317, 0, 0.389, 0.079, 0.445, 0.508, 0
 
 NUCLEASES = [("SpCas9", "NGG", "3prime", 20, 17, 17), ("SaCas9", "NNGRRT", "3prime", 21, 18, 18), ("AsCas12a", "TTTV", "5prime", 23, 18, 23)]
 DEGENERATE_CODONS = ["NNK", "NNS", "NNN", "NDT"]
+
+# --- fixed values: methylases (name, motif, methylated base of the top strand, of the bottom) ------
+# Offsets count along the top strand of the motif.
+
+METHYLASES = [("Dam", "GATC", 1, 2), ("Dcm", "CCWGG", 1, 3)]
+
+# --- fixed values: methylated bases in a site that block or impair its enzyme (REBASE) -------------
+# For each methylase the configurations: offsets on the top strand, offsets on the bottom strand.
+
+METHYL_CONFIGURATIONS = {
+    "AlwNI": {"Dcm": [([0], [2]), ([0, 6], [2, 8])]},
+    "ApaI": {"Dcm": [([5], []), ([5], [0])]},
+    "BsaBI": {"Dam": [([1], [2]), ([1, 7], [2, 8])]},
+    "BsaHI": {"Dcm": [([5], [0])]},
+    "BsaI": {"Dcm": [([], [0])]},
+    "BspEI": {"Dam": [([5], []), ([5], [0])]},
+    "BspHI": {"Dam": [([5], []), ([5], [0])]},
+    "BstXI": {"Dcm": [([1], [10])]},
+    "ClaI": {"Dam": [([0], [1]), ([0, 4], [1, 5])]},
+    "EcoO109I": {"Dcm": [([5], []), ([5], [0]), ([5], [1])]},
+    "FokI": {"Dcm": [([], [0])]},
+    "FseI": {"Dcm": [([7], [0])]},
+    "MboI": {"Dam": [([1], [2])]},
+    "MscI": {"Dcm": [([4], []), ([4], [1])]},
+    "NruI": {"Dam": [([5], []), ([5], [0])]},
+    "PflMI": {"Dcm": [([1], []), ([1], [9])]},
+    "SfiI": {"Dcm": [([3], []), ([3, 12], []), ([3], [0]), ([3, 12], [0])]},
+    "SfoI": {"Dcm": [([5], [0])]},
+    "StuI": {"Dcm": [([4], []), ([4], [1])]},
+    "TaqI": {"Dam": [([3], []), ([3], [0])]},
+    "XbaI": {"Dam": [([5], []), ([5], [0])]},
+}
+#: Enzymes for which any methylated base of the methylase in the site counts.
+METHYL_ANY = {"BclI": ["Dam"], "DpnII": ["Dam"], "FspI": ["Dam", "Dcm"]}
+
+# --- fixed values: base editors (name, base, what it becomes, window in the spacer from 1) ---------
+
+BASE_EDITORS = [("CBE", "C", "T", 4, 8), ("ABE7.10", "A", "G", 4, 7), ("ABE8e", "A", "G", 4, 8)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -196,7 +197,30 @@ def seguid(seq: Column) -> Column:
     return base64url(F.unhex(F.sha1(F.upper(seq))))
 
 
+def least_rotation(text: str) -> str:
+    """The least of a text's rotations, in linear time: two candidates are compared letter by letter,
+    and the one that loses moves past all that was compared."""
+    n, i, j, k = len(text), 0, 1, 0
+    while j < n and i < n and k < n:
+        a, b = text[(i + k) % n], text[(j + k) % n]
+        if a == b:
+            k += 1
+            continue
+        if a > b:
+            i += k + 1
+        else:
+            j += k + 1
+        j += i == j
+        k = 0
+    at = min(i, j)
+    return text[at:] + text[:at]
+
+
 def minimal_rotation(seq: Column) -> Column:
     """The least of a circle's rotations."""
-    n = F.length(seq)
-    return F.when(n == 0, seq).otherwise(F.array_min(F.transform(positions(n), lambda i: F.concat(F.substring(seq, i + 1, n), F.substring(seq, F.lit(1), i)))))
+
+    @F.pandas_udf("string")
+    def rotated(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else least_rotation(t))
+
+    return rotated(seq)

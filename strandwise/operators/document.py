@@ -48,15 +48,14 @@ def ligate(parts: DataFrame, key: str, order: str, sequence: str) -> DataFrame:
 def hunks_of(a: Column, b: Column) -> Column:
     """array<struct<start, end>>: maximal runs of positions at which two sequences of one length
     differ."""
-    differs = F.filter(positions(F.least(F.length(a), F.length(b))), lambda i: F.substring(a, i + 1, F.lit(1)) != F.substring(b, i + 1, F.lit(1)))
-    one = lambda s, e: F.struct(s.alias("start"), e.alias("end"))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
+    n = F.least(F.length(a), F.length(b))
+    differs = F.slice(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y), F.lit(1), F.greatest(n, F.lit(0)))
 
-    def add(acc: Column, i: Column) -> Column:
-        last = F.element_at(acc, -1)
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] == i), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(one(last["start"], i + 1)))).otherwise(F.concat(acc, F.array(one(i, i + 1))))
+    def runs(d: Column) -> Column:
+        edge = lambda step: F.filter(positions(n), lambda i: F.get(d, i) & ~F.coalesce(F.get(d, i + step), F.lit(False)))
+        return F.zip_with(edge(-1), edge(1), lambda s, e: F.struct(s.alias("start"), (e + 1).alias("end")))
 
-    return let(differs, lambda d: F.aggregate(d, empty, add))
+    return let(differs, runs)
 
 
 def both_strands(seq: Column) -> Column:

@@ -1,14 +1,38 @@
-"""Pattern scans over many molecules: motifs, cut sites, guides, k-mers."""
+"""Pattern scans over many molecules: motifs, cut sites, guides, k-mers.
+
+A scan is one pass of numpy over Arrow batches. Molecules are laid side by side, circles with their
+first bases again behind them, long ones in overlapping pieces of ``PIECE`` bases, so that time and
+memory grow with the bases and a 5 Mb circle costs no more per base than many short lines. A base
+is a set of four bits (IUPAC); it matches a pattern's position when its set lies within the
+pattern's.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandwise import dims
-from strandwise.functions.seq import iupac_class, let, positions, revcomp
+from strandwise.functions.seq import let
+
+PIECE = 1 << 18
+WORDS = 1 << 18
+ANCHOR = 6
+
+MASKS = np.zeros(256, dtype=np.uint8)
+for _code, _bases in dims.IUPAC.items():
+    for _c in (_code, _code.lower()):
+        MASKS[ord(_c)] = sum(1 << "ACGT".index(b) for b in _bases)
+DIGITS = np.full(16, 255, dtype=np.uint8)
+DIGITS[[1, 2, 4, 8]] = range(4)
+TURNED = np.arange(256, dtype=np.uint8)
+TURNED[np.frombuffer(dims.COMPLEMENT_FROM.encode(), np.uint8)] = np.frombuffer(dims.COMPLEMENT_TO.encode(), np.uint8)
 
 
 def extended(seq: Column, topology: Column, extra: int) -> Column:
@@ -16,98 +40,257 @@ def extended(seq: Column, topology: Column, extra: int) -> Column:
     return F.when(topology == "circular", F.concat(seq, F.substring(seq, 1, extra))).otherwise(seq)
 
 
-def windows(df: DataFrame, size: int, keep: list[str]) -> DataFrame:
-    """keep, pos, word: every window of a molecule (columns sequence, topology); on a circle one for
-    each base. A window longer than the molecule is none."""
-    n = F.length("sequence")
-    count = F.when(n < size, 0).when(F.col("topology") == "circular", n).otherwise(n - size + 1)
-    each = let(extended(F.col("sequence"), F.col("topology"), size - 1), lambda t: F.transform(positions(count), lambda i: F.substring(t, i + 1, F.lit(size))))
-    return df.select(*keep, F.posexplode(each).alias("pos", "word"))
+@dataclass
+class Laid:
+    """Pieces of molecules in one buffer, a zero byte after each.
 
+    low: where each piece starts in the buffer; row, base: the molecule (row of the batch) it is of
+    and where in it the piece starts; size, circle: the molecule's length and topology."""
 
-def motif(df: DataFrame, pattern: str, keep: list[str]) -> DataFrame:
-    """keep, strand, start: matches of an IUPAC pattern on both strands, in forward coordinates.
-    A pattern that is its own reverse complement is reported forward only."""
-    size = len(pattern)
-    w = windows(df, size, keep)
-    ways = [(pattern, "forward")] + ([] if dims.revcomp(pattern) == pattern else [(dims.revcomp(pattern), "reverse")])
-    hits = F.array(*[F.when(F.upper("word").rlike(f"^{iupac_class(p)}$"), F.lit(s)) for p, s in ways])
-    return w.select(*keep, F.col("pos").alias("start"), F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("strand"))
+    buf: np.ndarray
+    low: np.ndarray
+    row: np.ndarray
+    base: np.ndarray
+    size: np.ndarray
+    circle: np.ndarray
 
+    def places(self, at: np.ndarray, width: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the buffer places ``at`` are starts of a window of that width in a molecule, and
+        for those the row and the position. What lies in two pieces counts in the first."""
+        piece = np.searchsorted(self.low, at, side="right") - 1
+        pos = at - self.low[piece] + self.base[piece]
+        n = self.size[piece]
+        good = (pos - self.base[piece] < PIECE) & (width <= n) & np.where(self.circle[piece], pos < n, pos + width <= n)
+        return good, self.row[piece[good]], pos[good]
 
-def cut_sites(mol: DataFrame, enzymes: DataFrame, length_col: str = "length") -> DataFrame:
-    """seq_id, enzyme, strand, site_start, cut, cut_bottom for every enzyme.
 
-    The catalogue's sites are expanded to plain words (a bounded table: N's are matched by their
-    fixed ends first) and joined with the molecules' windows of the site's length by equality, so
-    the work is bases times distinct site lengths, not times enzymes.
-    """
-    catalogue = enzymes.collect()  # the enzyme catalogue: bounded by its size, not by the data
-    out = None
-    by_size: dict[int, list] = {}
-    for e in catalogue:
-        by_size.setdefault(len(e.site), []).append(e)
-    spark = mol.sparkSession
-    for size, group in sorted(by_size.items()):
-        patterns: dict[str, list] = {}
-        for e in group:
-            patterns.setdefault(e.site, []).append((e, "forward"))
-            if not e.palindromic:
-                patterns.setdefault(dims.revcomp(e.site), []).append((e, "reverse"))
-        core = _anchor(list(patterns))
-        rows = []
-        for p, uses in patterns.items():
-            for word in _words(p[core[0] : core[1]]):
-                for e, strand in uses:
-                    top, bottom = (e.cut_top, e.cut_bottom) if strand == "forward" else (size - e.cut_bottom, size - e.cut_top)
-                    rows.append((word, iupac_class(p), e.name, strand, top, bottom))
-        table = spark.createDataFrame(rows, "core string, rule string, enzyme string, strand string, top int, bottom int")
-        w = windows(mol, size, ["seq_id", "topology", length_col]).withColumn("core", F.substring(F.upper("word"), core[0] + 1, core[1] - core[0]))
-        hit = w.join(F.broadcast(table), "core").where(F.expr("upper(word) rlike concat('^', rule, '$')"))
-        hit = hit.select("seq_id", "topology", length_col, "enzyme", "strand", F.col("pos").alias("site_start"), (F.col("pos") + F.col("top")).alias("c"), (F.col("pos") + F.col("bottom")).alias("b"))
-        out = hit if out is None else out.unionByName(hit)
-    if out is None:
-        raise ValueError("no enzymes")
-    circular, n = F.col("topology") == "circular", F.col(length_col)
-    on = circular | (F.col("c").between(0, n) & F.col("b").between(0, n))
-    fold = lambda c: F.when(circular, F.pmod(F.col(c), n)).otherwise(F.col(c))
-    return out.where(on).select("seq_id", "enzyme", "strand", "site_start", fold("c").cast("int").alias("cut"), fold("b").cast("int").alias("cut_bottom"))
+def laid(sequences: list[bytes | None], circles: list[bool], extra: int) -> Iterator[Laid]:
+    """The molecules of a batch, about PIECE bases at a time; windows reach up to ``extra`` bases past
+    their first. A null molecule is empty."""
+    held: list[tuple[bytes, int, int, int, bool]] = []
+    total = 0
+
+    def out() -> Laid:
+        text = [x[0] for x in held]
+        low = np.cumsum([0] + [len(t) + 1 for t in text])[:-1]
+        row, base, size, circle = (np.array([x[k] for x in held]) for k in (1, 2, 3, 4))
+        return Laid(np.frombuffer(b"\0".join(text) + b"\0", np.uint8), low, row, base, size, circle.astype(bool))
+
+    for row, (s, circle) in enumerate(zip(sequences, circles, strict=True)):
+        n = len(s or b"")
+        if not n:
+            continue
+        text = s + (s * (extra // n + 1))[:extra] if circle else s
+        for base in range(0, n, PIECE):
+            held.append((text[base : base + PIECE + extra], row, base, n, circle))
+            total += len(held[-1][0])
+            if total >= PIECE:
+                yield out()
+                held, total = [], 0
+    if held:
+        yield out()
+
+
+def strings(buf: np.ndarray, at: np.ndarray, size: int, turned: bool | np.ndarray = False) -> pa.Array:
+    """The texts ``buf[at : at + size]``, reverse complements where turned."""
+    index = at[:, None] + np.arange(size)[None, :]
+    text = buf[index]
+    if turned is not False:
+        other = TURNED[text[:, ::-1]]
+        text = np.where(np.broadcast_to(turned, len(at))[:, None], other, text)
+    offsets = np.arange(len(at) + 1, dtype=np.int32) * size
+    return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(text)))
+
+
+def codes(masks: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The number in base 4 of each run of ``width`` bases, and whether all of them are plain."""
+    digit = DIGITS[masks]
+    n = max(0, len(masks) - width + 1)
+    number, plain = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
+    for k in range(width):
+        d = digit[k : k + n]
+        number = (number << 2) | (d & 3)
+        plain &= d < 4
+    return number, plain
+
+
+class Patterns:
+    """IUPAC patterns to be found together.
+
+    Every pattern has an anchor, the stretch of up to ANCHOR positions that fewest plain words match;
+    a table from such words to patterns gives candidates in one look at each base, and the other
+    positions are compared on the candidates alone. Windows whose anchor holds ambiguous bases are
+    compared position by position."""
+
+    def __init__(self, patterns: list[str]):
+        self.sizes = np.array([len(p) for p in patterns], dtype=np.int64)
+        self.most = int(self.sizes.max(initial=1))
+        self.sets = np.full((len(patterns), self.most), 15, dtype=np.uint8)
+        for k, p in enumerate(patterns):
+            self.sets[k, : len(p)] = MASKS[np.frombuffer(p.encode(), np.uint8)]
+        self.anchor = [_anchor(p) for p in patterns]
+        rows: dict[int, list[tuple[int, int]]] = {}
+        for k, (p, (a, b)) in enumerate(zip(patterns, self.anchor, strict=True)):
+            rows.setdefault(b - a, []).extend((_number(w), k) for w in _words(p[a:b]))
+        self.tables = {}
+        for width, found in rows.items():
+            words, ids = np.array(sorted(found), dtype=np.int64).T
+            self.tables[width] = np.searchsorted(words, np.arange(4**width + 1)), ids
+
+    def find(self, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and pattern numbers of all matches in a buffer of base sets."""
+        offsets = np.array([a for a, _ in self.anchor], dtype=np.int64)
+        places, which = [], []
+        for width, (edge, ids) in self.tables.items():
+            number, plain = codes(masks, width)
+            at = np.flatnonzero(plain & (edge[number + 1] > edge[number]))
+            low, many = edge[number[at]], edge[number[at] + 1] - edge[number[at]]
+            total = np.cumsum(many)
+            k = ids[np.repeat(low - total + many, many) + np.arange(int(many.sum()))]
+            places.append(np.repeat(at, many) - offsets[k])
+            which.append(k)
+        odd = np.flatnonzero((DIGITS[masks] > 3) & (masks > 0))
+        for k, (a, b) in enumerate(self.anchor if len(odd) else []):
+            at = np.unique((odd[:, None] - np.arange(a, b)[None, :]).ravel())
+            places.append(at)
+            which.append(np.full(len(at), k))
+        at, k = np.concatenate(places), np.concatenate(which)
+        good = (at >= 0) & (at + self.sizes[k] <= len(masks))
+        at, k = at[good], k[good]
+        for j in range(self.most):
+            inside = j < self.sizes[k]
+            base = masks[np.where(inside, at + j, 0)]
+            good = ~inside | ((base > 0) & ((base & ~self.sets[k, j]) == 0))
+            at, k = at[good], k[good]
+        return at, k
+
+
+def _number(word: str) -> int:
+    out = 0
+    for c in word:
+        out = out * 4 + "ACGT".index(c)
+    return out
 
 
 def _words(pattern: str) -> list[str]:
     out = [""]
-    for code in pattern:
+    for code in pattern.upper():
         out = [w + b for w in out for b in dims.IUPAC[code]]
     return out
 
 
-def _anchor(patterns: list[str]) -> tuple[int, int]:
-    """The stretch of at most 6 positions with the fewest plain words over all patterns."""
-    size = len(patterns[0])
-    width = min(6, size)
-    best = min(range(size - width + 1), key=lambda k: sum(_count(p[k : k + width]) for p in patterns))
+def _anchor(pattern: str) -> tuple[int, int]:
+    """The stretch of at most ANCHOR positions with the fewest plain words."""
+    width = min(ANCHOR, len(pattern))
+    count = lambda p: int(np.prod([len(dims.IUPAC[c]) for c in p.upper()]))
+    best = min(range(len(pattern) - width + 1), key=lambda k: count(pattern[k : k + width]))
     return best, best + width
 
 
-def _count(pattern: str) -> int:
-    n = 1
-    for code in pattern:
-        n *= len(dims.IUPAC[code])
-    return n
+def mapped(df: DataFrame, keep: list[str], extra: int, columns: str, found) -> DataFrame:
+    """keep and the columns that ``found(piece)`` gives: an iterator of (rows, *arrays)."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    names = [*keep, *(c.split()[0].strip("`") for c in columns.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *own, sequence, topology = batch.columns
+            circles = [t == "circular" for t in topology.to_pylist()]
+            for piece in laid(sequence.cast(pa.binary()).to_pylist(), circles, extra):
+                for rows, *arrays in found(piece):
+                    index = pa.array(rows, pa.int64())
+                    yield pa.RecordBatch.from_arrays([*(c.take(index) for c in own), *(a if isinstance(a, pa.Array) else pa.array(a) for a in arrays)], names=names)
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), columns])
+    return df.select(*keep, F.col("sequence").alias("sequence_"), F.col("topology").alias("topology_")).mapInArrow(run, schema)
+
+
+def windows(df: DataFrame, size: int, keep: list[str]) -> DataFrame:
+    """keep, pos, word: every window of a molecule (columns sequence, topology); on a circle one for
+    each base. A window longer than the molecule is none."""
+
+    def found(piece: Laid):
+        for low in range(0, len(piece.buf), WORDS):
+            at = np.arange(low, min(low + WORDS, len(piece.buf) - size + 1))
+            good, rows, pos = piece.places(at, size)
+            yield rows, pos.astype(np.int32), strings(piece.buf, at[good], size)
+
+    return mapped(df, keep, size - 1, "pos int, word string", found)
+
+
+def motif(df: DataFrame, pattern: str, keep: list[str]) -> DataFrame:
+    """keep, start, strand: matches of an IUPAC pattern on both strands, in forward coordinates.
+    A pattern that is its own reverse complement is reported forward only."""
+    ways = [pattern] + ([] if dims.revcomp(pattern) == pattern else [dims.revcomp(pattern)])
+    wanted, names = Patterns(ways), pa.array(["forward", "reverse"])
+
+    def found(piece: Laid):
+        at, k = wanted.find(MASKS[piece.buf])
+        good, rows, pos = piece.places(at, len(pattern))
+        yield rows, pos.astype(np.int32), names.take(pa.array(k[good]))
+
+    return mapped(df, keep, len(pattern) - 1, "start int, strand string", found)
+
+
+def cut_sites(mol: DataFrame, enzymes: DataFrame, length_col: str = "length") -> DataFrame:
+    """seq_id, enzyme, strand, site_start, cut, cut_bottom for every enzyme, in one pass over the
+    molecules for all of them. The catalogue is closed over by the tasks; it is bounded by its own
+    size, not by the data. On a line, cuts that fall outside the molecule are left out."""
+    uses = []
+    for e in enzymes.collect():
+        n = len(e.site)
+        uses.append((e.site, e.name, "forward", e.cut_top, e.cut_bottom))
+        if not e.palindromic:
+            uses.append((dims.revcomp(e.site), e.name, "reverse", n - e.cut_bottom, n - e.cut_top))
+    if not uses:
+        raise ValueError("no enzymes")
+    wanted = Patterns([u[0] for u in uses])
+    names, strands = pa.array([u[1] for u in uses]), pa.array([u[2] for u in uses])
+    top, bottom = (np.array([u[k] for u in uses], dtype=np.int64) for k in (3, 4))
+
+    def found(piece: Laid):
+        at, k = wanted.find(MASKS[piece.buf])
+        good, rows, pos = piece.places(at, wanted.sizes[k])
+        k, which = k[good], np.searchsorted(piece.low, at[good], side="right") - 1
+        n, circle = piece.size[which], piece.circle[which]
+        cuts = [np.where(circle, (pos + x[k]) % n, pos + x[k]) for x in (top, bottom)]
+        on = circle | ((cuts[0] >= 0) & (cuts[0] <= n) & (cuts[1] >= 0) & (cuts[1] <= n))
+        k = pa.array(k[on])
+        yield rows[on], names.take(k), strands.take(k), pos[on].astype(np.int32), *(c[on].astype(np.int32) for c in cuts)
 
+    return mapped(mol.select("seq_id", "sequence", "topology"), ["seq_id"], wanted.most - 1, "enzyme string, strand string, site_start int, cut int, cut_bottom int", found)
 
-def guides(mol: DataFrame, pam: str = "NGG", spacer: int = 20) -> DataFrame:
-    """seq_id, strand, start, spacer, pam, gc: 3' PAM guides on both strands; start in forward
-    coordinates. Spacers with ambiguous bases are none."""
+
+def guides(mol: DataFrame, pam: str = "NGG", spacer: int = 20, pam_first: bool = False) -> DataFrame:
+    """seq_id, strand, start, spacer, pam, gc: guides on both strands, their PAM behind the spacer or,
+    pam_first, before it; start is the spacer's in forward coordinates. Spacers with ambiguous bases
+    are none."""
     size = spacer + len(pam)
-    w = windows(mol, size, ["seq_id", "topology", "length"])
-    word = F.upper("word")
-    way = lambda text, strand, start: F.when(text.rlike(f"^[ACGT]{{{spacer}}}{iupac_class(pam)}$"), F.struct(F.lit(strand).alias("strand"), start.alias("start"), text.alias("text")))
-    both = F.array(way(word, "forward", F.col("pos")), way(revcomp(word), "reverse", F.col("pos") + len(pam)))
-    g = w.select("seq_id", "length", "topology", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("g"))
-    start = F.when(F.col("topology") == "circular", F.pmod(F.col("g.start"), F.col("length"))).otherwise(F.col("g.start"))
-    s = F.substring("g.text", 1, spacer)
-    return g.select("seq_id", F.col("g.strand").alias("strand"), start.cast("int").alias("start"), s.alias("spacer"), F.substring("g.text", spacer + 1, len(pam)).alias("pam"), (F.length(s) - F.length(F.translate(s, "GC", ""))).alias("gc"))
+    left = pam if pam_first else "N" * spacer + pam  # the window as it reads on its own strand
+    left = pam + "N" * spacer if pam_first else left
+    wanted, names = Patterns([left, dims.revcomp(left)]), pa.array(["forward", "reverse"])
+    own = len(pam) if pam_first else 0  # where the spacer starts in the window
+    plain = np.zeros(256, dtype=bool)
+    plain[np.frombuffer(b"ACGTacgt", np.uint8)] = True
+    upper = np.arange(256, dtype=np.uint8)
+    upper[97:123] -= 32
+
+    def found(piece: Laid):
+        at, k = wanted.find(MASKS[piece.buf])
+        good, rows, pos = piece.places(at, size)
+        at, turned = at[good], k[good] == 1
+        low = np.where(turned, size - own - spacer, own)
+        odd = np.concatenate([[0], np.cumsum(~plain[piece.buf])])
+        full = odd[at + low + spacer] == odd[at + low]
+        at, turned, rows, pos, low = at[full], turned[full], rows[full], pos[full], low[full]
+        which = np.searchsorted(piece.low, at, side="right") - 1
+        start = np.where(piece.circle[which], (pos + low) % piece.size[which], pos + low)
+        text = upper[piece.buf]
+        gc = np.concatenate([[0], np.cumsum((text == 71) | (text == 67))])
+        beside = np.where(turned, size - len(pam) if pam_first else 0, 0 if pam_first else spacer)
+        yield rows, names.take(pa.array(turned.astype(np.int64))), start.astype(np.int32), strings(text, at + low, spacer, turned), strings(text, at + beside, len(pam), turned), (gc[at + low + spacer] - gc[at + low]).astype(np.int32)
+
+    return mapped(mol, ["seq_id"], size - 1, "strand string, start int, spacer string, pam string, gc int", found)
 
 
 def packed(spacer: Column) -> Column:

@@ -99,3 +99,40 @@ def grouping_sets_extra(spark, sf_dir):
 def feature_counts(spark, sf_dir):
     f = derive.features(spark, sf_dir)
     return f.groupBy("seq_id").agg(F.count(F.when(F.col("type") == "CDS", 1)).alias("cds"), F.count(F.when(F.col("type") == "gene", 1)).alias("gene"), F.max(F.col("end") - F.col("start")).alias("longest"))
+
+
+CIRC = "f AS (SELECT DISTINCT feature_id, start, \"end\" AS e, (feature_id * 31 % 512)::BIGINT AS low, (feature_id * 31 % 512 + 5 + feature_id % 60)::BIGINT AS high FROM features WHERE topology = 'circular'), b AS (SELECT DISTINCT feature_id, start, e, low, high, p FROM f, range(0, 200) t(k), LATERAL (SELECT (start + k) % 512 AS p) WHERE start + k < e AND NOT (p BETWEEN low AND high - 1 OR p + 512 BETWEEN low AND high - 1)), m AS (SELECT *, CASE WHEN high > 512 THEN p - (high - 512) WHEN p >= high THEN p - (high - low) ELSE p END AS q, 512 - (high - low) AS n FROM b)"
+
+
+@query(views("features", more=CIRC + ", g AS (SELECT feature_id, start, e, n, count(*) AS size, list(q) AS qs FROM m GROUP BY 1, 2, 3, 4)") + "SELECT feature_id, start, e AS old_end, size, list_aggregate([x FOR x IN qs IF size = n OR NOT list_contains(qs, (x + n - 1) % n)], 'min')::BIGINT AS first FROM g WHERE size < n")
+def delete_on_circles(spark, sf_dir):
+    """Features of circles after a stretch was deleted, some across the origin."""
+    f = derive.features(spark, sf_dir).where("topology = 'circular'").distinct()
+    k = F.col("feature_id")
+    low = (k * 31 % 512).cast("bigint")
+    d = f.withColumn("d", I.delete_on_circle(F.col("start"), F.col("end"), low, low + 5 + k % 60, F.lit(N).cast("bigint"))).where("d IS NOT NULL")
+    return d.select("feature_id", "start", F.col("end").alias("old_end"), (F.col("d.end") - F.col("d.start")).alias("size"), F.col("d.start").alias("first")).distinct()
+
+
+@query(views("features", more="c AS (SELECT seq_id, i, arg_max(type || strand, feature_id * 1000 + \"end\") AS style FROM (SELECT DISTINCT * FROM features WHERE topology = 'linear' AND \"end\" > start) f, range(512) t(i) WHERE i >= f.start AND i < f.\"end\" GROUP BY 1, 2), r AS (SELECT *, i - row_number() OVER (PARTITION BY seq_id, style ORDER BY i) AS island FROM c)") + "SELECT seq_id, min(i)::BIGINT AS start, (max(i) + 1)::BIGINT AS \"end\", style FROM r GROUP BY seq_id, style, island")
+def style_runs(spark, sf_dir):
+    """What style each stretch of a line is drawn in when later features lie over earlier ones."""
+    f = derive.features(spark, sf_dir).where("topology = 'linear' AND end > start").distinct()
+    s = f.select("seq_id", "start", "end", F.concat("type", "strand").alias("style"), (F.col("feature_id") * 1000 + F.col("end")).alias("rank"))
+    return I.style_runs(s, "seq_id")
+
+
+@query(views("features", more="d AS (SELECT seq_id, k AS deletion, (seq_id * 17 + k * 61) % 400 AS low, (seq_id * 17 + k * 61) % 400 + 40 + k * 25 AS high FROM molecules, range(4) t(k) WHERE topology = 'linear'), h AS (SELECT f.seq_id, f.feature_id AS feature, deletion, row_number() OVER (PARTITION BY f.seq_id, f.feature_id ORDER BY high - low, deletion) AS r FROM features f JOIN d ON d.seq_id = f.seq_id AND low <= f.start AND f.\"end\" <= high WHERE f.topology = 'linear')") + "SELECT seq_id, feature, deletion FROM h WHERE r = 1")
+def swallowed_features(spark, sf_dir):
+    """Which of several deletions took each feature whole: the smallest that holds it."""
+    m = derive.molecules(spark, sf_dir).where("topology = 'linear'")
+    one = lambda k: F.struct(F.lit(k).cast("bigint").alias("deletion"), ((F.col("seq_id") * 17 + k * 61) % 400).alias("low"), ((F.col("seq_id") * 17 + k * 61) % 400 + 40 + k * 25).alias("high"))
+    d = m.select("seq_id", F.inline(F.array(*[one(k) for k in range(4)])))
+    f = derive.features(spark, sf_dir).where("topology = 'linear'").select("seq_id", F.col("feature_id").alias("feature"), "start", "end")
+    return I.swallowed(f, d, "seq_id")
+
+
+@query(views("molecules") + "SELECT seq_id, translate(sequence, 'Tt', 'Uu') AS rna FROM molecules")
+def rna_letters(spark, sf_dir):
+    m = derive.molecules(spark, sf_dir)
+    return m.select("seq_id", F.translate("sequence", "Tt", "Uu").alias("rna"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strandwise import derive
+from strandwise import derive, dims
 from strandwise.derive import with_views as views
 from strandwise.functions import seq as S
+from strandwise.operators import anneal as A
 from strandwise.operators import reads as R
-from strandwise.operators import scan
 from strandwise.plans.registry import query
 
 
@@ -44,9 +44,13 @@ def coverage(spark, sf_dir):
     return R.coverage(derive.reads(spark, sf_dir), F.lit(96))
 
 
-@query(views("bases", more="v AS (SELECT seq_id, start + i AS pos, base, pow(10.0::DOUBLE, -least(60, greatest(1, q)) / 10.0::DOUBLE) AS p FROM bases), l AS (SELECT seq_id, pos, count(*) AS depth, " + ", ".join(f"sum(CASE WHEN base = '{k}' THEN ln(1 - p) ELSE ln(p / 4) END) AS l{k}" for k in "ACGT") + " FROM v GROUP BY 1, 2)") + "SELECT seq_id, pos, depth, CASE greatest(lA, lC, lG, lT) WHEN lA THEN 'A' WHEN lC THEN 'C' WHEN lG THEN 'G' ELSE 'T' END AS base FROM l")
+VOTES = "v AS (SELECT seq_id, start + i AS pos, base, least(60, greatest(1, q)) AS q FROM bases), s AS (SELECT seq_id, pos, count(*) AS depth, " + ", ".join(f"sum(CASE WHEN base = '{k}' THEN floor(ln(1 - pow(10.0::DOUBLE, -q / 10.0::DOUBLE)) * 1e6 + 0.5) ELSE floor(ln(pow(10.0::DOUBLE, -q / 10.0::DOUBLE) / 4) * 1e6 + 0.5) END)::BIGINT AS l{n}" for n, k in enumerate("ACGT-")) + " FROM v GROUP BY 1, 2), u AS (SELECT seq_id, pos, depth, k, exp((l - greatest(l0, l1, l2, l3, l4)) / 1e6::DOUBLE) AS w FROM s, LATERAL (VALUES (0, l0), (1, l1), (2, l2), (3, l3), (4, l4)) t(k, l)), m AS (SELECT *, w / sum(w) OVER (PARTITION BY seq_id, pos) AS p FROM u), o AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY seq_id, pos ORDER BY p DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, first(k) OVER (PARTITION BY seq_id, pos ORDER BY p DESC, k) AS best FROM m), c AS (SELECT seq_id, pos, any_value(depth) AS depth, string_agg(substr('ACGT', k + 1, 1), '' ORDER BY k) AS bases, sum(p) AS covered FROM o WHERE best < 4 AND k < 4 AND before < 0.8 GROUP BY 1, 2), iupac(bases, symbol) AS (VALUES " + ", ".join(f"('{b}', '{c}')" for c, b in dims.IUPAC.items() if c != "U") + ")"
+
+
+@query(views("bases", more=VOTES) + "SELECT seq_id, pos, depth, symbol, least(60, greatest(0, floor(-10 * log10(greatest(1e-6, 1 - covered)) + 0.5)))::INT AS quality, length(bases) > 1 AS ambiguous FROM c JOIN iupac USING (bases)")
 def consensus(spark, sf_dir):
-    return R.consensus(R.pileup(_reads(spark, sf_dir))).select("seq_id", F.col("pos").cast("bigint").alias("pos"), "depth", "base")
+    """A base where the votes settle on one, else the code of the bases that make four fifths."""
+    return R.consensus(R.pileup(_reads(spark, sf_dir))).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query(views("bases", more="d AS (SELECT b.seq_id, b.read_id, b.start + b.i AS pos, b.base <> substr(m.sequence, (b.start + b.i)::INT + 1, 1) AS x FROM bases b JOIN molecules m USING (seq_id)), v AS (SELECT seq_id, read_id, pos, pos - row_number() OVER (PARTITION BY read_id ORDER BY pos) AS island FROM d WHERE x)") + 'SELECT read_id, seq_id, min(pos) AS start, max(pos) + 1 AS "end" FROM v GROUP BY read_id, seq_id, island')
@@ -85,26 +89,24 @@ ANNEAL = "w AS (SELECT seq_id, i, substr(CASE WHEN topology = 'circular' THEN se
 @query(views("primers", more=ANNEAL) + "SELECT p.primer_id, s.seq_id, s.strand, s.i::INT AS start, hamming(p.sequence, s.t)::INT AS mismatches FROM primers p JOIN sites s ON substr(p.sequence, 16, 5) = substr(s.t, 16, 5) AND hamming(p.sequence, s.t) <= 2")
 def anneal_sites(spark, sf_dir):
     """Places where a primer pairs: its last five bases exactly, two mismatches at most elsewhere."""
-    w = scan.windows(derive.molecules(spark, sf_dir), 20, ["seq_id"])
-    both = F.array(F.struct(F.lit("forward").alias("strand"), F.col("word").alias("t")), F.struct(F.lit("reverse").alias("strand"), S.revcomp(F.col("word")).alias("t")))
-    sites = w.select("seq_id", F.col("pos").alias("start"), F.explode(both).alias("s")).select("seq_id", "start", "s.strand", "s.t").withColumn("anchor", F.substring("t", 16, 5))
-    p = derive.primers(spark, sf_dir).select("primer_id", "sequence", F.substring("sequence", 16, 5).alias("anchor"))
-    apart = F.size(F.filter(F.zip_with(F.split("sequence", ""), F.split("t", ""), lambda x, y: x != y), lambda d: d))
-    return sites.join(p, "anchor").withColumn("mismatches", apart).where("mismatches <= 2").select("primer_id", "seq_id", "strand", "start", "mismatches")
+    return A.anneal_sites(derive.molecules(spark, sf_dir), derive.primers(spark, sf_dir)).drop("size")
 
 
 @query(views("primers", more=ANNEAL + ", hit AS (SELECT p.primer_id, s.seq_id, s.strand, s.i FROM primers p JOIN sites s ON p.sequence = s.t), m AS (SELECT seq_id, topology FROM molecules)") + "SELECT f.seq_id, f.primer_id AS forward_id, r.primer_id AS reverse_id, f.i::INT AS start, (CASE WHEN r.i >= f.i THEN r.i + 20 - f.i ELSE r.i + 532 - f.i END)::INT AS size FROM hit f JOIN hit r ON f.seq_id = r.seq_id AND f.strand = 'forward' AND r.strand = 'reverse' JOIN m ON m.seq_id = f.seq_id WHERE r.i >= f.i OR m.topology = 'circular'")
 def pcr_products(spark, sf_dir):
     """What pairs of exactly matching primers amplify; on a circle also across the origin."""
-    mol = derive.molecules(spark, sf_dir)
-    w = scan.windows(mol, 20, ["seq_id", "topology"])
-    both = F.array(F.struct(F.lit("forward").alias("strand"), F.col("word").alias("sequence")), F.struct(F.lit("reverse").alias("strand"), S.revcomp(F.col("word")).alias("sequence")))
-    sites = w.select("seq_id", "topology", F.col("pos").alias("i"), F.explode(both).alias("s")).select("seq_id", "topology", "i", "s.strand", "s.sequence")
-    hit = sites.join(derive.primers(spark, sf_dir).select("primer_id", "sequence"), "sequence")
-    f = hit.where("strand = 'forward'").select("seq_id", "topology", F.col("primer_id").alias("forward_id"), F.col("i").alias("start"))
-    r = hit.where("strand = 'reverse'").select("seq_id", F.col("primer_id").alias("reverse_id"), F.col("i").alias("j"))
-    size = F.when(F.col("j") >= F.col("start"), F.col("j") + 20 - F.col("start")).otherwise(F.col("j") + 532 - F.col("start"))
-    return f.join(r, "seq_id").where("j >= start OR topology = 'circular'").select("seq_id", "forward_id", "reverse_id", "start", size.alias("size"))
+    sites = A.anneal_sites(derive.molecules(spark, sf_dir), derive.primers(spark, sf_dir), mismatches=0, keep=("seq_id", "topology", "length"))
+    return A.amplicons(sites).drop("mismatches")
+
+
+MISMATCHED = ", an AS (SELECT p.primer_id, s.seq_id, s.strand, s.i, hamming(p.sequence, s.t) AS mm FROM primers p JOIN sites s ON substr(p.sequence, 16, 5) = substr(s.t, 16, 5) AND hamming(p.sequence, s.t) <= 2), pr AS (SELECT f.seq_id, f.primer_id AS forward_id, r.primer_id AS reverse_id, f.i AS start, CASE WHEN r.i >= f.i THEN r.i + 20 - f.i ELSE r.i + 532 - f.i END AS size, f.mm + r.mm AS mismatches FROM an f JOIN an r ON f.seq_id = r.seq_id AND f.strand = 'forward' AND r.strand = 'reverse' JOIN molecules m ON m.seq_id = f.seq_id WHERE r.i >= f.i OR m.topology = 'circular'), rk AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY mismatches, size, start, forward_id, reverse_id) AS rank FROM pr WHERE size <= 5000)"
+
+
+@query(views("primers", more=ANNEAL + MISMATCHED) + "SELECT seq_id, forward_id, reverse_id, start::INT AS start, size::INT AS size, mismatches::INT AS mismatches, rank FROM rk WHERE rank <= 12")
+def pcr_ranked(spark, sf_dir):
+    """The twelve likeliest products of each molecule, mismatched primers included."""
+    sites = A.anneal_sites(derive.molecules(spark, sf_dir), derive.primers(spark, sf_dir), keep=("seq_id", "topology", "length"))
+    return A.best_products(A.amplicons(sites, reach=5000)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(views("primers", more="q AS (SELECT *, row_number() OVER (ORDER BY primer_id) - 1 AS k FROM primers)") + "SELECT primer_id, (k // 96 + 1)::INT AS plate, chr((65 + (k % 96) % 8)::INT) || lpad(((k % 96) // 8 + 1)::VARCHAR, 2, '0') AS well, sequence FROM q")
@@ -115,6 +117,38 @@ def order_sheet_wells(spark, sf_dir):
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = p.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     k = F.col("offset") + F.row_number().over(Window.partitionBy("part").orderBy("primer_id")) - 1
-    rows = p.join(F.broadcast(offsets), "part").withColumn("k", k)
+    rows = p.join(offsets, "part").withColumn("k", k)
     at = F.col("k") % 96
     return rows.select("primer_id", (F.floor(F.col("k") / 96) + 1).cast("int").alias("plate"), F.concat(F.char(at % 8 + 65), F.lpad((F.floor(at / 8) + 1).cast("string"), 2, "0")).alias("well"), "sequence")
+
+
+VOTE = "r AS (SELECT read_id, seq_id, CASE WHEN read_id % 2 = 1 THEN reverse(translate(bases, 'ACGT', 'TGCA')) ELSE bases END AS b FROM reads), k AS (SELECT DISTINCT read_id, seq_id, substr(b, i + 1, 11) AS w FROM r, range(86) t(i)), mk AS (SELECT DISTINCT seq_id, substr(CASE WHEN topology = 'circular' THEN sequence || substr(sequence, 1, 10) ELSE sequence END, i + 1, 11) AS w FROM molecules, range(512) t(i) WHERE topology = 'circular' OR i <= 501), n AS (SELECT k.read_id, count(f.w) AS forward, count(v.w) AS reverse FROM k LEFT JOIN mk f ON f.seq_id = k.seq_id AND f.w = k.w LEFT JOIN mk v ON v.seq_id = k.seq_id AND v.w = reverse(translate(k.w, 'ACGT', 'TGCA')) GROUP BY 1)"
+
+
+@query(views("reads", more=VOTE) + "SELECT read_id, forward, reverse, CASE WHEN forward >= 20 AND forward >= 3 * reverse THEN 'forward' WHEN reverse >= 20 AND reverse >= 3 * forward THEN 'reverse' END AS strand FROM n")
+def strand_vote(spark, sf_dir):
+    """The strand of its molecule with which a read shares clearly more 11-mers."""
+    r = derive.reads(spark, sf_dir).withColumn("bases", F.when(F.col("read_id") % 2 == 1, S.revcomp(F.col("bases"))).otherwise(F.col("bases")))
+    return R.strand_vote(r, derive.molecules(spark, sf_dir))
+
+
+NAMES = "n AS (SELECT read_id, 'clone' || (read_id // 3) || CASE read_id % 3 WHEN 0 THEN '_F' WHEN 1 THEN '-rev' ELSE '.2' END AS name FROM reads), s AS (SELECT read_id, regexp_replace(lower(name), '[-_. ]?(forward|fwd|for|f|reverse|rev|r|1|2)$', '') AS clone, CASE WHEN regexp_matches(lower(name), '[-_. ](forward|fwd|for|f|1)$') THEN 'forward' WHEN regexp_matches(lower(name), '[-_. ](reverse|rev|r|2)$') THEN 'reverse' END AS way FROM n)"
+
+
+@query(views("reads", more=NAMES) + "SELECT clone, count(*) FILTER (way = 'forward') AS n_forward, count(*) FILTER (way = 'reverse') AS n_reverse, min(read_id) FILTER (way = 'forward') AS first_forward, min(read_id) FILTER (way = 'reverse') AS first_reverse FROM s GROUP BY 1")
+def mates_by_name(spark, sf_dir):
+    """Reads of one clone by what their names say of direction."""
+    k = F.col("read_id")
+    name = F.concat(F.lit("clone"), F.floor(k / 3).cast("string"), F.when(k % 3 == 0, "_F").when(k % 3 == 1, "-rev").otherwise(".2"))
+    return R.mates_by_name(derive.reads(spark, sf_dir).select("read_id", name.alias("name")))
+
+
+@query(views("molecules", more="t AS (SELECT seq_id, topology, sequence AS a, CASE WHEN topology = 'circular' THEN substr(sequence, o + 1) || substr(sequence, 1, o) ELSE sequence END AS r FROM (SELECT *, (seq_id * 7 % 512)::INT AS o FROM molecules))") + "SELECT seq_id, CASE WHEN topology = 'circular' THEN (512 - seq_id * 7 % 512) % 512 ELSE 0 END::INT AS origin, seq_id % 3 = 0 AS flipped FROM t")
+def turn_to_match(spark, sf_dir):
+    """How copies of molecules that start elsewhere, some read from the other strand, must be turned."""
+    k = F.col("seq_id")
+    m = derive.molecules(spark, sf_dir)
+    at = (k * 7 % 512).cast("int")
+    turned = F.when(F.col("topology") == "circular", F.concat(F.substring("sequence", at + 1, F.lit(512)), F.substring("sequence", F.lit(1), at))).otherwise(F.col("sequence"))
+    other = F.when(k % 3 == 0, S.revcomp(turned)).otherwise(turned)
+    return R.turn_to_match(m.select("seq_id", "topology", "sequence", other.alias("other")), ["seq_id"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandwise import derive
 from strandwise.derive import with_views as views
 from strandwise.functions import seq as S
-from strandwise.operators import cloning
+from strandwise.operators import cloning, history
 from strandwise.plans.registry import query
 from strandwise.sources import text
 
@@ -16,7 +16,7 @@ from strandwise.sources import text
 
 @query(views("edits", more="g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 86400000000 OR op <> lag(op) OVER w THEN 1 ELSE 0 END AS new FROM edits WINDOW w AS (PARTITION BY doc_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY ts, event_id) AS step FROM g)") + "SELECT doc_id, step::BIGINT AS step, min(op) AS op, count(*) AS edits, sum(len)::BIGINT AS bases FROM s GROUP BY 1, 2")
 def history_sessions(spark, sf_dir):
-    """Undo steps: runs of the same kind of edit with less than a day between them."""
+    """Working days: runs of the same kind of edit with less than a day between them."""
     w = Window.partitionBy("doc_id").orderBy("ts", "event_id")
     gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag(F.col("ts").cast("timestamp")).over(w))
     new = F.when(gap.isNull() | (gap > 86_400_000_000) | (F.col("op") != F.lag("op").over(w)), 1).otherwise(0)
@@ -24,10 +24,12 @@ def history_sessions(spark, sf_dir):
     return s.groupBy("doc_id", "step").agg(F.min("op").alias("op"), F.count("*").alias("edits"), F.sum("len").alias("bases"))
 
 
-@query(views("edits") + "SELECT doc_id, count(*) AS versions, 1000 + sum(CASE op WHEN 'insert' THEN len WHEN 'delete' THEN -len ELSE 0 END)::BIGINT AS length FROM edits GROUP BY 1")
+@query("WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ts, event_id) AS r FROM (" + derive.SQL["edits"] + ")), f AS (SELECT DISTINCT doc_id, 0::BIGINT AS r, 100::BIGINT AS n FROM e UNION ALL SELECT e.doc_id, e.r, CASE op WHEN 'insert' THEN n + len ELSE n - (least(position + len, n) - least(position, n)) + CASE op WHEN 'replace' THEN len ELSE 0 END END FROM f JOIN e ON e.doc_id = f.doc_id AND e.r = f.r + 1) SELECT doc_id, max(r)::BIGINT AS versions, arg_max(n, r)::BIGINT AS length FROM f GROUP BY 1")
 def edit_log_fold(spark, sf_dir):
-    d = F.when(F.col("op") == "insert", F.col("len")).when(F.col("op") == "delete", -F.col("len")).otherwise(0)
-    return derive.edits(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("versions"), (F.lit(1000) + F.sum(d)).cast("bigint").alias("length"))
+    """Length of every document after its edits, clipped to the text as it then was."""
+    e = derive.edits(spark, sf_dir)
+    rows = e.select("doc_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ms"), "event_id", "op", "position", "len", F.repeat(F.lit("N"), F.col("len")).alias("text"))
+    return history.fold_text(rows, "N" * 100).select("doc_id", "versions", F.length("text").cast("bigint").alias("length"))
 
 
 @query(views("edits", more="l AS (SELECT doc_id, max(ts) AS last FROM edits GROUP BY 1)") + "SELECT doc_id, last < (SELECT max(ts) FROM edits) - INTERVAL 30 DAY AS expired FROM l")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -20,15 +22,26 @@ def _codons(name: str, table: int = 1) -> str:
 
 
 ENZ = "enzymes(enzyme, site, top, bottom) AS (VALUES " + ", ".join(f"('{n}', '{s}', {t}, {b})" for n, s, t, b in dims.ENZYMES) + ")"
-#: Cut sites of every enzyme, for DuckDB: windows against regular expressions, by site length.
-PATTERNS = "patterns(enzyme, n, rule, strand, top, bottom) AS (VALUES " + ", ".join(
+
+
+def _core(site: str) -> str:
+    """A site's longest run of plain bases, with its offset: '3, ACG'. Windows are found by it."""
+    runs = re.finditer("[ACGT]+", site)
+    best = max(runs, key=lambda m: len(m[0]), default=None)
+    return f"{best.start()}, '{best[0]}'" if best else "0, ''"
+
+
+#: Cut sites of every enzyme, for DuckDB: windows by a run of plain bases, then by regular expression.
+PATTERNS = "patterns(enzyme, n, rule, strand, top, bottom, off, core) AS (VALUES " + ", ".join(
     row
     for n, s, t, b in dims.ENZYMES
-    for row in [f"('{n}', {len(s)}, '{S.iupac_class(s)}', 'forward', {t}, {b})"] + ([] if dims.revcomp(s) == s else [f"('{n}', {len(s)}, '{S.iupac_class(dims.revcomp(s))}', 'reverse', {len(s) - b}, {len(s) - t})"])
+    for row in [f"('{n}', {len(s)}, '{S.iupac_class(s)}', 'forward', {t}, {b}, {_core(s)})"]
+    + ([] if dims.revcomp(s) == s else [f"('{n}', {len(s)}, '{S.iupac_class(dims.revcomp(s))}', 'reverse', {len(s) - b}, {len(s) - t}, {_core(dims.revcomp(s))})"])
 ) + ")"
 CUTS = PATTERNS + """, win AS (SELECT seq_id, topology, length, n, i, substr(CASE WHEN topology = 'circular' THEN sequence || substr(sequence, 1, n - 1) ELSE sequence END, i + 1, n) AS word FROM molecules, (SELECT DISTINCT n FROM patterns), range(512) r(i) WHERE topology = 'circular' OR i <= 512 - n),
 words AS (SELECT DISTINCT n, word FROM win),
-found AS (SELECT w.word, p.* FROM words w JOIN patterns p ON w.n = p.n AND regexp_full_match(w.word, p.rule)),
+cored AS (SELECT n, word, off, substr(word, off + 1, len) AS core FROM words JOIN (SELECT DISTINCT n, off, length(core) AS len FROM patterns) USING (n)),
+found AS (SELECT w.word, p.* FROM cored w JOIN patterns p ON w.n = p.n AND w.off = p.off AND w.core = p.core AND regexp_full_match(w.word, p.rule)),
 raw AS (SELECT w.seq_id, w.topology, f.enzyme, f.strand, w.i AS site_start, w.i + f.top AS c, w.i + f.bottom AS b FROM win w JOIN found f ON w.n = f.n AND w.word = f.word),
 cuts AS (SELECT seq_id, enzyme, strand, site_start::INT AS site_start, (CASE WHEN topology = 'circular' THEN ((c % 512) + 512) % 512 ELSE c END)::INT AS cut, (CASE WHEN topology = 'circular' THEN ((b % 512) + 512) % 512 ELSE b END)::INT AS cut_bottom FROM raw WHERE topology = 'circular' OR (c BETWEEN 0 AND 512 AND b BETWEEN 0 AND 512))"""
 ALU = """hits AS (SELECT seq_id, topology, ((i + 2) % 512)::INT AS cut FROM molecules, range(512) r(i) WHERE substr(CASE WHEN topology = 'circular' THEN sequence || substr(sequence, 1, 3) ELSE sequence END, i + 1, 4) = 'AGCT' AND (topology = 'circular' OR i + 2 BETWEEN 1 AND 511)),
