@@ -5,7 +5,7 @@ import decimal
 import duckdb
 import pytest
 
-from strandwise.plans import algorithms, design, editing, features, reading, records, scalars, sequence  # noqa: F401
+import __spark_entry__  # noqa: F401  registers the queries
 from strandwise.plans.registry import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
