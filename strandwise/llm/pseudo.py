@@ -31,7 +31,7 @@ from strandwise.llm.text import LOWER, Words, lean, parts, slices, texts
 VOCAB, RARE, CLASSES = 4096, 256, 48
 DIM, HIDDEN = 8, 24
 ROUNDS, STRIDE, BATCH, RATE = 4, 4, 512, 0.4
-STEPS, ROWS, CELL = 8, 1024, 4096
+STEPS, ROWS, CELL = 16, 1024, 4096
 SCORED = 16384
 SIDE = 2
 BUCKETS = 1024
@@ -224,11 +224,13 @@ def word_counts(docs: DataFrame, most: int = VOCAB, table: DataFrame | None = No
 
 
 def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of about equal mass, by frequency, and each id's log share in its class."""
+    """Classes of about equal sums of square roots of counts, by frequency, which keeps the words to be
+    weighed for a target few; and each id's log share in its class."""
+    weight = np.sqrt(counts)
     order = np.argsort(-counts, kind="stable")
-    mass = np.cumsum(counts[order]) - counts[order] / 2
+    mass = np.cumsum(weight[order]) - weight[order] / 2
     group = np.zeros(len(counts), dtype=np.int64)
-    group[order] = np.minimum(mass / max(1, counts.sum()) * CLASSES, CLASSES - 1).astype(np.int64)
+    group[order] = np.minimum(mass / max(1, weight.sum()) * CLASSES, CLASSES - 1).astype(np.int64)
     return group, np.log(counts / np.bincount(group, counts, CLASSES)[group])
 
 
