@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandwise import dims
 from strandwise.functions.seq import least_rotation
-from strandwise.operators import anneal, detect, ends, history, orf, primer_design, scan, script
+from strandwise.operators import align, anneal, design, detect, ends, history, orf, primer_design, protein, scan, script, verify
 
 MOL = "seq_id bigint, topology string, length int, sequence string"
 
@@ -268,3 +268,93 @@ def test_guides_brute(spark, pam, first):
     found = {(r.seq_id, r.strand, r.start, r.spacer, r.pam) for r in scan.guides(frame(spark, rows), pam, size, first).collect()}
     assert found == want
     assert scan.guides(frame(spark, rows), pam, size, first).where(F.col("gc") != F.length("spacer") - F.length(F.translate("spacer", "GC", ""))).count() == 0
+
+
+def test_isoelectric_point_brute(spark):
+    rng = random.Random(11)
+    chains = ["".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(rng.randrange(1, 60))) for _ in range(12)] + ["K", "D", "M*", ""]
+
+    def charge(p, ph):
+        up = lambda pk: 10**pk / (10**pk + 10**ph)
+        total = up(dims.N_TERMINAL_PK.get(p[0], dims.N_TERMINAL_DEFAULT)) - (1 - up(dims.C_TERMINAL_PK))
+        return total + sum(up(dims.POSITIVE_PK[c]) for c in p if c in dims.POSITIVE_PK) - sum(1 - up(dims.NEGATIVE_PK[c]) for c in p if c in dims.NEGATIVE_PK)
+
+    df = spark.createDataFrame(list(enumerate(chains)), "k int, p string").select("k", protein.isoelectric_point(F.col("p")).alias("pi"), protein.molecular_weight(F.col("p")).alias("w"))
+    for r in df.collect():
+        p = chains[r.k].replace("*", "")
+        if not p:
+            assert r.pi is None and r.w == 0
+            continue
+        best = min((abs(charge(p, x / 1000)), x / 1000) for x in range(14001))[1]
+        assert abs(r.pi - best) < 2e-3
+        assert abs(r.w - (sum(dims.RESIDUE_MASS[c] for c in p) + dims.WATER)) < 1e-3
+
+
+def test_dimer_brute():
+    rng = random.Random(12)
+    for _ in range(60):
+        a, b = dna(rng, rng.randrange(4, 14)), dna(rng, rng.randrange(4, 14))
+        best = 0.0
+        for i in range(len(a)):  # every stretch of a that pairs with one of b, and can't be longer
+            for j in range(i + 2, len(a) + 1):
+                part = a[i:j]
+                for k in range(len(b) - len(part) + 1):
+                    if dims.revcomp(b[k : k + len(part)]) != part:
+                        continue
+                    before = i > 0 and k + len(part) < len(b) and dims.complement(b[k + len(part)]) == a[i - 1]
+                    after = j < len(a) and k > 0 and dims.complement(b[k - 1]) == a[j]
+                    if before or after:
+                        continue
+                    h = sum(dims.NEAREST[part[x : x + 2]][0] for x in range(len(part) - 1)) + sum((dims.INIT_GC if e in "GC" else dims.INIT_AT)[0] for e in (part[0], part[-1]))
+                    t = sum(dims.NEAREST[part[x : x + 2]][1] for x in range(len(part) - 1)) + sum((dims.INIT_GC if e in "GC" else dims.INIT_AT)[1] for e in (part[0], part[-1]))
+                    best = min(best, h - 310.15 * t / 1000)
+        assert abs(align.dimer(a, b) - best) < 1e-5
+
+
+def test_primer_pairs_brute(spark):
+    rng = random.Random(13)
+    rows = [(k, k % 3, dna(rng, 20)) for k in range(60)]
+    df = spark.createDataFrame(rows, "primer_id int, seq_id int, sequence string")
+    m = {r.primer_id: r for r in design.measured(df).collect()}
+    for k, _, s in rows:
+        run = max(len(list(g)) for _, g in __import__("itertools").groupby(s))
+        gc = sum(c in "GC" for c in s) / 20
+        assert m[k].run == run and abs(m[k].gc - gc) < 1e-12 and m[k].clamp == (s[-1] in "GC")
+        assert m[k].ok == (55 <= m[k].tm <= 65 and 0.35 <= gc <= 0.65 and run <= 4)
+    f, r = [x for x in rows if x[0] % 2], [x for x in rows if x[0] % 2 == 0]
+    want = {(s1, a, b) for a, s1, _ in f for b, s2, _ in r if s1 == s2 and m[a].ok and m[b].ok and abs(m[a].tm - m[b].tm) <= 3}
+    found = design.primer_pairs(df.where("primer_id % 2 = 1"), df.where("primer_id % 2 = 0"), "seq_id").collect()
+    assert {(x.seq_id, x.forward_id, x.reverse_id) for x in found} == want and len(found) == len(want) > 0
+
+
+def test_verdicts_brute(spark):
+    """Reads of known constructs: exact, with changes, turned round, across an origin, and strangers."""
+    rng = random.Random(14)
+    mol = [(k, ("linear", "circular")[k % 2], dna(rng, 400)) for k in range(4)]
+    reads, want = [], {}
+    for k, t, s in mol:
+        doubled = s + s if t == "circular" else s
+        for j, at in enumerate((20, 150, 280 if t == "linear" else 350)):
+            read = doubled[at : at + 90]
+            changed = list(read)
+            for x in range(20, 20 + 5 * j, 5):
+                changed[x] = "ACGT"["ACGT".index(changed[x]) - 1]
+            changed = "".join(changed)
+            reads.append((10 * k + j, dims.revcomp(changed) if j == 1 else changed))
+            want[10 * k + j] = (k, "reverse" if j == 1 else "forward", "match" if j == 0 else "differs")
+    reads.append((99, dna(rng, 90)))
+    found = {r.read_id: r for r in verify.verdicts(spark.createDataFrame(reads, "read_id int, bases string"), frame(spark, mol)).collect()}
+    assert found[99].verdict == "not aligned"
+    for i, (k, strand, verdict) in want.items():
+        assert (found[i].seq_id, found[i].strand, found[i].verdict) == (k, strand, verdict)
+        assert abs(found[i].identity - (90 - i % 10) / 90) < 1e-9
+
+
+def test_columns_of_translations(spark):
+    """Ambiguous codons in a joined coding sequence, other tables and open ends."""
+    from strandwise.operators import cds
+
+    rows = [(1, "GTGGCNTGATAG", [(0, 12)], "forward", 1, 2, False), (2, "GTGGCNTGATAG", [(0, 12)], "forward", 1, 1, True), (3, "CTATCANGCCAC", [(0, 12)], "reverse", 1, 4, False), (4, "AATGAAATTT", [(1, 4), (6, 10)], "forward", None, 99, None), (5, "TGAAATTTAA", [(8, 14)], "forward", 1, 1, False)]
+    df = spark.createDataFrame([(k, s, len(s), seg, st, c, t, p, None) for k, s, seg, st, c, t, p in rows], "k int, sequence string, length int, segments array<struct<s:int,e:int>>, strand string, codon_start int, transl_table int, partial boolean, exceptions array<struct<codon:int,aa:string>>")
+    found = {r.k: r.protein for r in cds.proteins(cds.codons(df, ["k"]), ["k"]).collect()}
+    assert found == {1: "MAW*", 2: "VA**", 3: "MAW*", 4: "MI", 5: "NE"}
