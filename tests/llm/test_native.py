@@ -62,8 +62,8 @@ def test_decontamination(spark, empty):
     rows[7] = (7, " ".join(ITEMS[1][1].split()[:9]))
     rows += [(30, None), (31, ""), (None, ITEMS[1][1]), (33, ITEMS[1][1]), (33, ITEMS[1][1]), (34, "too short")]
     df = frame(spark, rows)
-    for most in (10**6, 0):
-        found = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(df, bench, broadcast_windows=most).collect()}
+    for most in (decontaminate.BROADCAST_BYTES, 0):
+        found = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(df, bench, broadcast_bytes=most).collect()}
         assert set(found) == {(3, 2), (5, 1), (6, 1), (33, 2)}
         assert found[5, 1].changed >= 3 and found[6, 1].changed == 0
     left = decontaminate.without_contaminated(df, bench)
