@@ -48,9 +48,9 @@ def gibson_overlaps(spark, sf_dir):
     return p.select("seq_id", "p.k", D.overlap(F.col("p.part"), F.col("p.next"), 15, 40).alias("overlap"))
 
 
-@query(views("molecules", more="p AS (SELECT seq_id // 4 AS tube, seq_id, substr(sequence, 1, 60) AS part FROM molecules)") + "SELECT tube, string_agg(part, '' ORDER BY seq_id) AS sequence, count(*)::INT AS parts FROM p GROUP BY 1")
+@query(views("molecules", more="p AS (SELECT seq_id // 4 AS tube, seq_id, sequence AS part FROM molecules)") + "SELECT tube, string_agg(part, '' ORDER BY seq_id) AS sequence, count(*)::INT AS parts FROM p GROUP BY 1")
 def ligate_concat(spark, sf_dir):
-    p = derive.molecules(spark, sf_dir).select(F.floor(F.col("seq_id") / 4).alias("tube"), "seq_id", F.substring("sequence", 1, 60).alias("part"))
+    p = derive.molecules(spark, sf_dir).select(F.floor(F.col("seq_id") / 4).alias("tube"), "seq_id", F.col("sequence").alias("part"))
     return D.ligate(p, "tube", "seq_id", "part")
 
 
