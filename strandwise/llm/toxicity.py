@@ -28,6 +28,7 @@ from strandwise.llm.text import Words, lean, parts, slices, span_hashes, texts
 
 PER_CLASS, SAMPLE_BYTES = 2500, 64 << 20
 STEPS, STARTS = 1500, 3
+FEW, OFTEN, LEFT_OUT, WORST = 20, 3, 0.3, 0.25
 FOLDS = 5
 ROWS, DIM, FILTERS = 1 << 16, 12, 6
 WIDTHS = (1, 2, 3)
@@ -105,11 +106,13 @@ class Model:
 def train(docs: list[bytes], labels: np.ndarray, epochs: int | None = None, rate: float = 0.1, batch: int = 32, seed: int = 7, decay: float = 1e-4) -> Model:
     """Fits the network; a fifth of the rows is set aside. A run that starts badly can settle on
     chance words, so up to ``STARTS`` seeds are tried until one errs on under 2 % of the rows set
-    aside (both classes weighing alike); the best is kept and its thresholds calibrated there, or,
-    with under 20 rows of a class there, on all rows and close to the toxic ones."""
+    aside (both classes weighing alike); the best is kept and its thresholds calibrated there. With
+    under ``FEW`` rows of a class there, see ``_train_few``."""
     order = np.random.default_rng(seed).permutation(len(docs))
     aside, fit = order[: len(docs) // 5], order[len(docs) // 5 :]
     ready = _ready(docs)
+    if min((labels[aside] == 1).sum(), (labels[aside] == 0).sum()) < FEW:
+        return _train_few(docs, ready, labels, order, epochs, rate, batch, seed, decay)
     best, least = None, np.inf
     for k in range(STARTS):
         model = _run(ready, labels, fit, epochs, rate, batch, seed + k, decay)
@@ -120,8 +123,38 @@ def train(docs: list[bytes], labels: np.ndarray, epochs: int | None = None, rate
             best, least = model, error
         if least < 0.02:
             break
-    if min((labels[aside] == 1).sum(), (labels[aside] == 0).sum()) < 20:
-        _calibrate(best, docs, labels, 0.9)  # it has learnt these rows by heart: new ones score between
+    return best
+
+
+def _train_few(docs: list[bytes], ready: list[np.ndarray], labels: np.ndarray, order: np.ndarray, epochs: int | None, rate: float, batch: int, seed: int, decay: float) -> Model:
+    """Few labels are soon learnt by heart, by words that stand in one text alone. So words of under
+    ``OFTEN`` texts are unknown to the network, each step leaves out a share ``LEFT_OUT`` of the words,
+    and thresholds come from ``FOLDS`` models' logits of the rows that each hasn't seen. If even the
+    best threshold errs on over ``WORST`` of those (both classes weighing alike), the labels don't tell
+    enough: then no text is predicted that scores no higher than a clean one did."""
+    often = lambda rows: np.bincount(np.concatenate([np.unique(ready[k]) for k in rows] or [np.zeros(0, np.int64)]), minlength=ROWS + 1) >= OFTEN
+
+    def run(rows: np.ndarray, seed: int) -> Model:
+        known = often(rows)
+        known[ROWS] = False
+        model = _run([np.where(known[r], r, ROWS) for r in ready], labels, rows, epochs, rate, batch, seed, decay, LEFT_OUT)
+        model.embed[~known] = 0
+        return model
+
+    logit, language = np.zeros(len(docs)), np.zeros(len(docs), dtype=np.int64)
+    for f in range(FOLDS):
+        out = order[f::FOLDS]
+        if not len(out):
+            continue
+        model = run(np.setdiff1d(order, out), seed + 1 + f)
+        for k in out:
+            (logit[k],), (language[k],) = model.logits([docs[k]])
+    best = run(order, seed)
+    if len(docs):
+        _thresholds(best, logit, language, labels)
+        wrong = (logit >= best.thresholds[language]) != (labels == 1)
+        if np.mean([wrong[labels == c].mean() for c in (0, 1) if (labels == c).any()]) > WORST:
+            best.thresholds[:] = np.nextafter(max(logit[labels == 0], default=0.0), np.inf)
     return best
 
 
@@ -134,7 +167,7 @@ def _ready(docs: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _run(ready: list[np.ndarray], labels: np.ndarray, fit: np.ndarray, epochs: int | None, rate: float, batch: int, seed: int, decay: float) -> Model:
+def _run(ready: list[np.ndarray], labels: np.ndarray, fit: np.ndarray, epochs: int | None, rate: float, batch: int, seed: int, decay: float, left_out: float = 0.0) -> Model:
     """One run of Adagrad on the log loss, both classes weighing alike, of ``STEPS`` steps unless
     epochs are given (60 epochs at most)."""
     rng = np.random.default_rng(seed)
@@ -154,6 +187,8 @@ def _run(ready: list[np.ndarray], labels: np.ndarray, fit: np.ndarray, epochs: i
         for low in range(0, len(fit), batch):
             pick = fit[low : low + batch]
             parts = [ready[k] for k in pick]
+            if left_out:
+                parts = [np.where((rng.random(len(p)) >= left_out)[:, None], p, ROWS) for p in parts]
             start = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
             rows = np.concatenate(parts)
             vec, maps = model.maps(rows)
@@ -187,13 +222,16 @@ def _run(ready: list[np.ndarray], labels: np.ndarray, fit: np.ndarray, epochs: i
     return model
 
 
-def _calibrate(model: Model, docs: list[bytes], labels: np.ndarray, lean: float = 0.5) -> None:
-    """Thresholds with the fewest balanced errors, at the share ``lean`` of the way across the
-    widest gap; a language with under 20 rows of either class takes the common threshold."""
+def _calibrate(model: Model, docs: list[bytes], labels: np.ndarray) -> None:
+    """Sets the thresholds from the model's logits of these texts."""
     found = [model.logits(docs[a:b]) for a, b in slices([len(d) for d in docs], 2 << 20)]
-    if not found:
-        return
-    logit, language = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    if found:
+        _thresholds(model, *(np.concatenate([f[k] for f in found]) for k in (0, 1)), labels)
+
+
+def _thresholds(model: Model, logit: np.ndarray, language: np.ndarray, labels: np.ndarray) -> None:
+    """Thresholds with the fewest balanced errors, in the middle of the widest gap; a language with
+    under 20 rows of either class takes the common threshold."""
 
     def best(keep: np.ndarray) -> float:
         order = np.argsort(logit[keep], kind="stable")
@@ -202,7 +240,7 @@ def _calibrate(model: Model, docs: list[bytes], labels: np.ndarray, lean: float
         wrong = (y == 0).sum() - np.concatenate([[0], np.cumsum(y == 0)])
         cost = missed + wrong / max(1, (y == 0).sum())
         at = np.flatnonzero(cost <= cost.min() + 1e-9)
-        edge = np.concatenate([[x[0] - 1], x[:-1] + lean * (x[1:] - x[:-1]), [x[-1] + 1]])
+        edge = np.concatenate([[x[0] - 1], (x[:-1] + x[1:]) / 2, [x[-1] + 1]])
         gap = np.concatenate([[0], x[1:] - x[:-1], [0]])
         return float(edge[at[gap[at].argmax()]])
 
