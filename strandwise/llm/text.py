@@ -50,15 +50,20 @@ def lean(run):
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another C library
-            pass
+        give_back()
 
     return mapper
 
 
+def give_back() -> None:
+    """Returns freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(sizes: list[int], limit: int = SLICE) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive texts of about ``limit`` bytes together (one text at least)."""
     low, held = 0, 0

@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.llm.cluster import cut
-from strandwise.llm.text import Words, lean, parts, slices, span_hashes, texts
+from strandwise.llm.text import Words, give_back, lean, parts, slices, span_hashes, texts
 
 PER_CLASS, SAMPLE_BYTES = 2500, 64 << 20
 STEPS, STARTS = 1500, 3
-FEW, OFTEN, LEFT_OUT, WORST = 20, 3, 0.3, 0.25
+FEW, OFTEN, LEFT_OUT, GOOD, WORST = 20, 3, 0.3, 0.1, 0.25
 FOLDS = 5
 ROWS, DIM, FILTERS = 1 << 16, 12, 6
 WIDTHS = (1, 2, 3)
@@ -128,33 +128,42 @@ def train(docs: list[bytes], labels: np.ndarray, epochs: int | None = None, rate
 
 def _train_few(docs: list[bytes], ready: list[np.ndarray], labels: np.ndarray, order: np.ndarray, epochs: int | None, rate: float, batch: int, seed: int, decay: float) -> Model:
     """Few labels are soon learnt by heart, by words that stand in one text alone. So words of under
-    ``OFTEN`` texts are unknown to the network, each step leaves out a share ``LEFT_OUT`` of the words,
-    and thresholds come from ``FOLDS`` models' logits of the rows that each hasn't seen. If even the
-    best threshold errs on over ``WORST`` of those (both classes weighing alike), the labels don't tell
-    enough: then no text is predicted that scores no higher than a clean one did."""
+    ``OFTEN`` texts are unknown to the network, and thresholds come from ``FOLDS`` models' logits of the
+    rows that each hasn't seen. Where they err on over ``GOOD`` of those (both classes weighing alike),
+    leaving out a share ``LEFT_OUT`` of the words in each step is tried too; the better way stays. If it
+    errs on over ``WORST``, the labels don't tell enough: then no text is predicted that scores no
+    higher than a clean one did."""
     often = lambda rows: np.bincount(np.concatenate([np.unique(ready[k]) for k in rows] or [np.zeros(0, np.int64)]), minlength=ROWS + 1) >= OFTEN
 
-    def run(rows: np.ndarray, seed: int) -> Model:
+    def run(rows: np.ndarray, seed: int, left_out: float) -> Model:
         known = often(rows)
         known[ROWS] = False
-        model = _run([np.where(known[r], r, ROWS) for r in ready], labels, rows, epochs, rate, batch, seed, decay, LEFT_OUT)
+        model = _run([np.where(known[r], r, ROWS) for r in ready], labels, rows, epochs, rate, batch, seed, decay, left_out)
         model.embed[~known] = 0
         return model
 
-    logit, language = np.zeros(len(docs)), np.zeros(len(docs), dtype=np.int64)
-    for f in range(FOLDS):
-        out = order[f::FOLDS]
-        if not len(out):
-            continue
-        model = run(np.setdiff1d(order, out), seed + 1 + f)
-        for k in out:
-            (logit[k],), (language[k],) = model.logits([docs[k]])
-    best = run(order, seed)
-    if len(docs):
-        _thresholds(best, logit, language, labels)
-        wrong = (logit >= best.thresholds[language]) != (labels == 1)
-        if np.mean([wrong[labels == c].mean() for c in (0, 1) if (labels == c).any()]) > WORST:
-            best.thresholds[:] = np.nextafter(max(logit[labels == 0], default=0.0), np.inf)
+    best, least = None, np.inf
+    for left_out in (0.0, LEFT_OUT):
+        logit, language = np.zeros(len(docs)), np.zeros(len(docs), dtype=np.int64)
+        for f in range(FOLDS):
+            out = order[f::FOLDS]
+            if len(out):
+                model = run(np.setdiff1d(order, out), seed + 1 + f, left_out)
+                for k in out:
+                    (logit[k],), (language[k],) = model.logits([docs[k]])
+        tried = run(order, seed, left_out)
+        if not len(docs):
+            return tried
+        _thresholds(tried, logit, language, labels)
+        wrong = (logit >= tried.thresholds[language]) != (labels == 1)
+        error = float(np.mean([wrong[labels == c].mean() for c in (0, 1) if (labels == c).any()]))
+        if error < least:
+            best, least, highest = tried, error, max(logit[labels == 0], default=0.0)
+        give_back()
+        if least < GOOD:
+            break
+    if least > WORST:
+        best.thresholds[:] = np.nextafter(highest, np.inf)
     return best
 
 
@@ -273,8 +282,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for r in sizes:
         if total + r.n <= sample_bytes:
             total, fits[r.id_] = total + r.n, r.y
-    texts_ = {r.id_: r.text for r in found.where(F.col("id_").isin(list(fits))).collect()} if len(fits) < len(sizes) else {r.id_: r.text for r in found.collect()}
-    return train([texts_[i].encode() for i in fits], np.array(list(fits.values()), dtype=np.int64))
+    rows = found.where(F.col("id_").isin(list(fits))) if len(fits) < len(sizes) else found
+    texts_ = {r.id_: r.text.encode() for r in rows.toLocalIterator()}
+    try:
+        return train([texts_.pop(i) for i in fits], np.array(list(fits.values()), dtype=np.int64))
+    finally:
+        give_back()  # the driver goes on with other work
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
