@@ -313,3 +313,8 @@ Y -2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7
 V  0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -1  4
 """
 RESIDUES = "".join(line.split()[0] for line in BLOSUM62.strip().splitlines())
+
+#: Free energies (kcal/mol, 37 degrees) of loops by size (SantaLucia and Hicks 2004, table 4).
+HAIRPIN_LOOPS = {3: 3.5, 4: 3.5, 5: 3.3, 6: 4.0, 7: 4.2, 8: 4.3, 9: 4.5, 10: 4.6, 12: 5.0, 14: 5.1, 16: 5.3, 18: 5.5, 20: 5.7, 25: 6.1, 30: 6.3}
+BULGES = {1: 4.0, 2: 2.9, 3: 3.2, 4: 3.3, 5: 3.5, 6: 3.7}
+INTERIOR_LOOPS = {3: 3.2, 4: 3.6, 5: 4.0, 6: 4.4}

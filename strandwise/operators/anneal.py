@@ -97,15 +97,23 @@ def amplicons(sites: DataFrame, key: str = "seq_id", reach: int | None = None) -
     molecule amplify, primers included. sites: key, topology, length, primer_id, strand, start, size,
     mismatches. On a line the reverse site ends behind the forward one's start and holds no less than
     the longer primer; on a circle it may stand before it, then the product passes the origin.
-    ``reach`` bounds a product's size."""
+    ``reach`` bounds a product's size; then sites only meet those in the same or the next stretch of
+    that many bases, not all of their molecule."""
     f = sites.where("strand = 'forward'").select(key, "topology", "length", F.col("primer_id").alias("forward_id"), "start", F.col("size").alias("fs"), F.col("mismatches").alias("fm"))
     r = sites.where("strand = 'reverse'").select(key, F.col("primer_id").alias("reverse_id"), F.col("start").alias("at"), F.col("size").alias("rs"), F.col("mismatches").alias("rm"))
     ahead = F.col("at") + F.col("rs") - F.col("start")
     fits = (F.col("at") >= F.col("start")) & (ahead >= F.greatest("fs", "rs"))
     size = F.when(fits, ahead).when((F.col("topology") == "circular") & (F.col("at") < F.col("start")), ahead + F.col("length"))
-    out = f.join(r, key).withColumn("product", size).where(F.col("product").isNotNull())
-    if reach is not None:
-        out = out.where(F.col("product") <= reach)
+    if reach is None:
+        out = f.join(r, key).withColumn("product", size).where(F.col("product").isNotNull())
+    else:
+        bin_ = lambda place: F.floor(place / reach)
+        f = f.withColumn("bin", F.explode(F.array(bin_(F.col("start")), bin_(F.col("start")) + 1)))
+        n = r.join(sites.select(key, F.col("topology").alias("topology_"), F.col("length").alias("length_")).distinct(), key)
+        turns = F.when(F.col("topology_") == "circular", F.array(bin_(F.col("at")), bin_(F.col("at") + F.col("length_")))).otherwise(F.array(bin_(F.col("at"))))
+        r = n.select(key, "reverse_id", "at", "rs", "rm", F.explode(F.array_distinct(turns)).alias("bin"))
+        place = F.when(fits, F.col("at")).otherwise(F.col("at") + F.col("length"))  # a pair counts in its own bin only
+        out = f.join(r, [key, "bin"]).withColumn("product", size).where(F.col("product").isNotNull() & (F.col("product") <= reach) & (bin_(place) == F.col("bin")))
     return out.select(key, "forward_id", "reverse_id", "start", F.col("product").cast("int").alias("size"), (F.col("fm") + F.col("rm")).alias("mismatches"))
 
 

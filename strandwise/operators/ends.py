@@ -5,54 +5,75 @@ overhang are equal. A tube's pieces are few: what walks over them takes one tube
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwise import dims
 from strandwise.functions.seq import revcomp
 
 
-def _end(cut: str, bottom: str, kind: str, overhang: str) -> dict:
-    """The end of a cut: kind and overhang columns. Needs text (a circle's twice), topology, length."""
-    n = F.col("length")
-    d = F.col(bottom) - F.col(cut)
-    half = F.floor(n / 2).cast("int")
-    d = F.when(F.col("topology") == "circular", F.pmod(d + half, n) - half).otherwise(d)
-    low = F.when(d >= 0, F.col(cut)).otherwise(F.when(F.col("topology") == "circular", F.pmod(F.col(cut) + d, n)).otherwise(F.col(cut) + d))
-    low = F.when(F.col("topology") == "circular", F.pmod(low, n)).otherwise(low)
-    return {kind: F.when(d == 0, "blunt").when(d > 0, "five_prime").otherwise("three_prime"), overhang: F.substring("text", low + 1, F.abs(d))}
+def _cut(text: str, circular: bool, cuts: list[tuple[int, int]]) -> list[tuple]:
+    """The fragments of one molecule: start, end, both ends' kinds and overhangs, top strand. cuts: top
+    and bottom positions, ascending."""
+    n = len(text)
+    round_ = text + text if circular else text
+    ends = []
+    for cut, bottom in cuts:
+        d = bottom - cut
+        if circular:
+            d = (d + n // 2) % n - n // 2
+        low = cut if d >= 0 else cut + d
+        low = low % n if circular else max(low, 0)
+        ends.append((cut, "blunt" if d == 0 else "five_prime" if d > 0 else "three_prime", round_[low : low + abs(d)]))
+    if circular:
+        ends += [(ends[0][0] + n, *ends[0][1:])] if ends else []
+    else:
+        ends = [(0, "end", ""), *ends, (n, "end", "")]
+    return [(a[0], b[0], *a[1:], *b[1:], round_[a[0] : b[0]]) for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def cut_fragments(mol: DataFrame, cuts: DataFrame) -> DataFrame:
     """seq_id, start, end, left_kind, left_overhang, right_kind, right_overhang, sequence: what a
     complete digest leaves, top strand from cut to cut. mol: seq_id, topology, length, sequence; cuts:
     seq_id, cut, cut_bottom. Ends of a line that no cut made are 'end'. Where two cuts fall on one top
-    position the one with the smaller bottom cut counts. Uncut circles leave no fragment."""
-    m = mol.select("seq_id", "topology", "length", F.when(F.col("topology") == "circular", F.concat("sequence", "sequence")).otherwise(F.col("sequence")).alias("text"))
-    circular, n = F.col("topology") == "circular", F.col("length")
-    c = cuts.groupBy("seq_id", "cut").agg(F.min("cut_bottom").alias("bottom")).join(m, "seq_id").where(circular | ((F.col("cut") > 0) & (F.col("cut") < n)))
-    c = c.withColumns(_end("cut", "bottom", "kind", "overhang"))
-    stops = m.where(~circular & (n > 0)).select("seq_id", "topology", "length", "text", F.explode(F.array(F.lit(0), n.cast("int"))).alias("cut"), F.lit("end").alias("kind"), F.lit("").alias("overhang"))
-    rows = c.select("seq_id", "topology", "length", "text", "cut", "kind", "overhang").unionByName(stops)
-    w = Window.partitionBy("seq_id").orderBy("cut")
-    first = lambda x: F.first(x).over(w)
-    nxt = lambda x: F.lead(x).over(w)
-    spans = rows.select("*", nxt("cut").alias("n1"), nxt("kind").alias("n2"), nxt("overhang").alias("n3"), first("cut").alias("f1"), first("kind").alias("f2"), first("overhang").alias("f3"))
-    end = F.coalesce("n1", F.when(circular, F.col("f1") + n))
-    spans = spans.withColumn("end", end).where(F.col("end").isNotNull())
-    return spans.select("seq_id", F.col("cut").alias("start"), "end", F.col("kind").alias("left_kind"), F.col("overhang").alias("left_overhang"), F.coalesce("n2", "f2").alias("right_kind"), F.coalesce("n3", "f3").alias("right_overhang"), F.substring("text", F.col("cut") + 1, F.col("end") - F.col("cut")).alias("sequence"))
-
-
-def junctions(fragments: DataFrame, key: str = "seq_id") -> DataFrame:
-    """Pairs (key, start, other, other_start) of a fragment and one whose left end its right end joins:
+    position the one with the smaller bottom cut counts. Uncut circles leave no fragment.
+
+    A molecule meets all its cuts in one row, so its text is moved once, however often it is cut."""
+    own = cuts.where("cut IS NOT NULL AND cut_bottom IS NOT NULL").groupBy("seq_id", F.col("cut").cast("bigint").alias("cut")).agg(F.min(F.col("cut_bottom").cast("bigint")).alias("bottom"))
+    own = own.groupBy("seq_id").agg(F.sort_array(F.collect_list(F.struct("cut", "bottom"))).alias("cuts"))
+    rows = mol.where("length > 0 AND sequence IS NOT NULL").select("seq_id", "topology", "sequence").join(own, "seq_id", "left")
+    names = ["seq_id", "start", "end", "left_kind", "left_overhang", "right_kind", "right_overhang", "sequence"]
+    types = [pa.int64(), pa.int64(), *[pa.string()] * 5]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                at, out = [], []
+                for x, (topology, text, held) in enumerate(zip(*(part.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+                    circular = topology == "circular"
+                    found = _cut(text, circular, [(c["cut"], c["bottom"]) for c in held or [] if circular or 0 < c["cut"] < len(text)])
+                    out += found
+                    at += [x] * len(found)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), *(pa.array([r[c] for r in out], t) for c, t in enumerate(types))], names=names)
+
+    return rows.mapInArrow(run, f"seq_id {dict(rows.dtypes)['seq_id']}, start bigint, end bigint, left_kind string, left_overhang string, right_kind string, right_overhang string, sequence string")
+
+
+def junctions(fragments: DataFrame, key: str = "seq_id", tube: str = "tube") -> DataFrame:
+    """Pairs (tube, key, start, other, other_start) of a fragment and one of the same tube whose left end
+    its right end joins:
     equal kind and overhang (plain bases: an equi-join), no outer end of a line, no fragment with two
     phosphate-free ends (column dephosphorylated, if there is one)."""
     bare = F.col("dephosphorylated") if "dephosphorylated" in fragments.columns else F.lit(False)
     f = fragments.withColumn("bare_", F.coalesce(bare, F.lit(False)))
-    a = f.where("right_kind <> 'end'").select(key, "start", F.col("right_kind").alias("kind"), F.col("right_overhang").alias("overhang"), F.col("bare_").alias("x"))
-    b = f.where("left_kind <> 'end'").select(F.col(key).alias("other"), F.col("start").alias("other_start"), F.col("left_kind").alias("kind"), F.col("left_overhang").alias("overhang"), F.col("bare_").alias("y"))
-    return a.join(b, ["kind", "overhang"]).where("NOT (x AND y)").select(key, "start", "other", "other_start")
+    a = f.where("right_kind <> 'end'").select(tube, key, "start", F.col("right_kind").alias("kind"), F.col("right_overhang").alias("overhang"), F.col("bare_").alias("x"))
+    b = f.where("left_kind <> 'end'").select(tube, F.col(key).alias("other"), F.col("start").alias("other_start"), F.col("left_kind").alias("kind"), F.col("left_overhang").alias("overhang"), F.col("bare_").alias("y"))
+    return a.join(b, [tube, "kind", "overhang"]).where("NOT (x AND y)").select(tube, key, "start", "other", "other_start")
 
 
 def terminal_overlap(a: str, b: str, least: int, most: int | None = None) -> int:
