@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandwise.functions.seq import let
+
 LENGTH = 512
 
 
@@ -75,7 +77,9 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def qualities(hexes):
     """Phred values 0 to 40 from hex pairs."""
-    return F.transform(F.sequence(F.lit(0), F.lit(95)), lambda i: (F.conv(F.substring(hexes, i * 2 + 1, F.lit(2)), 16, 10).cast("int") % 41))
+    digit = lambda c: F.instr(F.lit("0123456789abcdef"), c) - 1
+    values = lambda d: F.transform(F.sequence(F.lit(0), F.lit(95)), lambda i: (F.get(d, i * 2) * 16 + F.get(d, i * 2 + 1)) % 41)
+    return let(F.transform(F.split(hexes, ""), digit), values)
 
 
 def primers(spark: SparkSession, sf_dir: str) -> DataFrame:

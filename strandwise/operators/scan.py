@@ -331,3 +331,22 @@ def off_targets(query: DataFrame, background: DataFrame, mismatches: int = 3) ->
 def kmers(mol: DataFrame, k: int) -> DataFrame:
     """seq_id, kmer: the distinct k-mers of each molecule."""
     return windows(mol, k, ["seq_id"]).select("seq_id", F.col("word").alias("kmer")).distinct()
+
+
+def kmer_sets(mol: DataFrame, k: int) -> DataFrame:
+    """seq_id, kmers: the different k-mers of each molecule as one array of numbers, equal for equal
+    words of up to eight letters. A molecule's array has 4 ** k plain words at most."""
+    if not 1 <= k <= 8:
+        raise ValueError("words of one to eight letters")
+
+    def found(piece: Laid):
+        padded = np.concatenate([piece.buf, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(piece.buf), dtype="<i8", buffer=padded, strides=(1,))
+        at = np.arange(len(piece.buf) - k + 1)
+        good, rows, _ = piece.places(at, k)
+        both = np.unique(np.stack([rows, eight[at[good]] & ((1 << 8 * k) - 1 if k < 8 else -1)], axis=1), axis=0)
+        lead = np.flatnonzero(np.diff(both[:, 0], prepend=-1))
+        yield both[lead, 0], pa.ListArray.from_arrays(pa.array(np.append(lead, len(both)), pa.int32()), pa.array(both[:, 1]))
+
+    pieces = mapped(mol, ["seq_id"], k - 1, "kmers array<bigint>", found)
+    return pieces.groupBy("seq_id").agg(F.array_distinct(F.flatten(F.collect_list("kmers"))).alias("kmers"))

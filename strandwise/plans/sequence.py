@@ -209,11 +209,11 @@ KM = "k AS (SELECT DISTINCT seq_id, substr(CASE WHEN topology = 'circular' THEN
 @query(views("molecules", more=KM + ", pairs AS (SELECT a.seq_id AS x, b.seq_id AS y, count(*) AS shared FROM k a JOIN k b ON a.kmer = b.kmer AND b.seq_id = a.seq_id + 1 GROUP BY 1, 2), n AS (SELECT seq_id, count(*) AS n FROM k GROUP BY 1)") + "SELECT x, y, shared, (a.n + b.n - shared)::BIGINT AS together FROM pairs JOIN n a ON a.seq_id = x JOIN n b ON b.seq_id = y")
 def kmer_distance(spark, sf_dir):
     """Shared and united 8-mers of each molecule and the next."""
-    k = scan.kmers(derive.molecules(spark, sf_dir), 8)
-    n = k.groupBy("seq_id").agg(F.count("*").alias("n"))
-    pairs = k.select(F.col("seq_id").alias("x"), "kmer", (F.col("seq_id") + 1).alias("y")).join(k.select(F.col("seq_id").alias("y"), "kmer"), ["y", "kmer"]).groupBy("x", "y").agg(F.count("*").alias("shared"))
-    out = pairs.join(n.select(F.col("seq_id").alias("x"), F.col("n").alias("nx")), "x").join(n.select(F.col("seq_id").alias("y"), F.col("n").alias("ny")), "y")
-    return out.select("x", "y", "shared", (F.col("nx") + F.col("ny") - F.col("shared")).alias("together"))
+    k = scan.kmer_sets(derive.molecules(spark, sf_dir), 8)
+    x, y = k.select(F.col("seq_id").alias("x"), F.col("kmers").alias("kx"), (F.col("seq_id") + 1).alias("y")), k.select(F.col("seq_id").alias("y"), F.col("kmers").alias("ky"))
+    shared = F.size(F.array_intersect("kx", "ky")).cast("bigint")
+    out = x.join(y, "y").select("x", "y", shared.alias("shared"), (F.size("kx") + F.size("ky")).cast("bigint").alias("both")).where("shared > 0")
+    return out.select("x", "y", "shared", (F.col("both") - F.col("shared")).alias("together"))
 
 
 @query(views("molecules", more=KM) + "SELECT kmer, count(*) AS n FROM k WHERE seq_id % 2 = 0 AND kmer IN (SELECT kmer FROM k WHERE seq_id % 2 = 1) AND kmer NOT IN (SELECT kmer FROM k WHERE seq_id % 50 = 1) GROUP BY 1")
