@@ -130,6 +130,12 @@ def encoder(path: str) -> Encoder:
     return _STATE[path][0]
 
 
+def forget() -> None:
+    """Drops this process's encoders. (A mapper calls it by name: the table of encoders itself must not
+    become part of what is sent to the workers.)"""
+    _STATE.clear()
+
+
 def encode_texts(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """docs (id_, text) to (id_, ids binary): packed ids with end_id appended."""
 
@@ -152,7 +158,7 @@ def _counts(ids: DataFrame, vocab: int, dtype: str) -> np.ndarray:
     the driver's share is bounded by the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _STATE.clear()  # all texts are encoded: a worker lives on, its encoder needn't
+        forget()  # all texts are encoded: a worker lives on, its encoder needn't
         total = np.zeros(vocab, dtype=np.int64)
         for batch in batches:
             for x in batch.column(0).to_pylist():
@@ -186,7 +192,7 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     spark.createDataFrame([(vocab, dtype, zlib.compress(lengths.tobytes()))], "vocab int, dtype string, lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _STATE.clear()
+        forget()
         code = Code(lengths)
         part, number, before, n, doc_ids, texts_ = 0, 0, 0, 0, [], []
 
@@ -234,7 +240,7 @@ def read_corpus(spark: SparkSession, path: str, with_ids: bool = True, id_col: s
     schema = f"`{id_col}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", token_ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _STATE.clear()
+        forget()
         code = Code(lengths)
         for batch in batches:
             for part, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
