@@ -4,11 +4,9 @@ import hashlib
 import random
 from collections import defaultdict
 
-import duckdb
 from samples import frame, odd_rows
 
 from strandwise.llm import lines
-from strandwise.llm.queries import ORACLE, op11_line_dedup
 
 
 def key(line):
@@ -76,13 +74,3 @@ def test_runs_close_and_compact(spark):
 
 def test_empty_table(spark, empty):
     assert lines.drop_repeated_lines(empty).collect() == []
-
-
-def test_query_equals_sql(spark, sf_dir):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
-    found = op11_line_dedup(spark, sf_dir)
-    rel = con.execute(ORACLE["op11_line_dedup"])
-    names = [c[0] for c in rel.description]
-    want = sorted(rel.fetchall())
-    assert sorted(tuple(r[n] for n in names) for r in found.collect()) == want and any(r[2] for r in want)
