@@ -9,11 +9,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwise import dims
 from strandwise.functions.seq import revcomp
+from strandwise.operators.scan import cut_sites
 
 
 def _cut(text: str, circular: bool, cuts: list[tuple[int, int]]) -> list[tuple]:
@@ -159,6 +160,21 @@ def golden_gate_products(pieces: DataFrame, key: str) -> DataFrame:
     return pieces.select(key, "piece_id", "left", "right", "body").groupBy(key).applyInPandas(walk, f"`{key}` {kind}, `order` string, product string, problem string")
 
 
+def golden_gate_digest(donors: DataFrame, enzyme: str = "BsaI") -> DataFrame:
+    """tube, order, product, problem: donors (tube, seq_id: its own in the whole table, topology, length,
+    sequence) cut by a type IIS enzyme and joined in one tube. Fragments that still hold its site are
+    cut again and again in the tube and take no part, nor do those with an outer or blunt end; the others
+    are numbered by seq_id and start. Tubes without such fragments have no row."""
+    row = next(e for e in dims.ENZYMES if e[0] == enzyme)
+    cuts = cut_sites(donors, dims.enzymes(donors.sparkSession, [row])).select("seq_id", "cut", "cut_bottom")
+    f = cut_fragments(donors, cuts).where("left_kind = 'five_prime' AND right_kind = 'five_prime'")
+    text = F.upper("sequence")
+    f = f.where(~text.contains(row[1]) & ~text.contains(dims.revcomp(row[1])))
+    f = f.join(donors.select("seq_id", "tube"), "seq_id").withColumn("piece_id", F.row_number().over(Window.partitionBy("tube").orderBy("seq_id", "start")) - 1)
+    pieces = f.select("tube", "piece_id", F.upper("left_overhang").alias("left"), F.upper("right_overhang").alias("right"), text.alias("body"))
+    return golden_gate_products(pieces, "tube")
+
+
 def turned_fragment(fragments: DataFrame) -> DataFrame:
     """Fragments read from the other strand: ends exchanged, overhangs and bases turned. The new top
     strand covers what the old bottom strand did."""

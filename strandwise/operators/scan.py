@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandwise import dims
-from strandwise.functions.seq import let
 
 PIECE = 1 << 18
 WORDS = 1 << 18

@@ -84,6 +84,21 @@ def overhang_circle(spark, sf_dir):
     return ends.golden_gate_products(p, "tube").select("tube", "product", "order")
 
 
+@query(views("molecules") + "SELECT seq_id AS tube, sequence AS product, '0-1-2-3' AS \"order\", '' AS problem FROM molecules WHERE NOT contains(sequence || sequence, 'GGTCTC') AND NOT contains(sequence || sequence, 'GAGACC') AND len(list_distinct([x FOR x IN [substr(sequence, 1, 4), substr(sequence, 129, 4), substr(sequence, 257, 4), substr(sequence, 385, 4)]] || [reverse(translate(x, 'ACGT', 'TGCA')) FOR x IN [substr(sequence, 1, 4), substr(sequence, 129, 4), substr(sequence, 257, 4), substr(sequence, 385, 4)]])) = 8")
+def golden_gate_donors(spark, sf_dir):
+    """Each molecule from four donor plasmids cut by BsaI in one tube, where it has no site of its own
+    and the overhangs allow one order only."""
+    m = derive.molecules(spark, sf_dir)
+    o = F.array(*[F.substring("sequence", k * 128 + 1, 4) for k in range(4)])
+    turned = F.transform(o, lambda x: F.reverse(F.translate(x, "ACGT", "TGCA")))
+    twice = F.concat("sequence", "sequence")
+    m = m.where(~twice.contains("GGTCTC") & ~twice.contains("GAGACC") & (F.size(F.array_distinct(F.concat(o, turned))) == 8))
+    donor = lambda k: F.struct((F.col("seq_id") * 4 + k).alias("id"), F.concat(F.lit("TTGGTCTCA"), F.substring(twice, k * 128 + 1, 132), F.lit("TGAGACCAATTCCGGAATTCCGG")).alias("donor"))
+    d = m.select(F.col("seq_id").alias("tube"), F.inline(F.array(*[donor(k) for k in range(4)])))
+    d = d.select("tube", F.col("id").alias("seq_id"), F.lit("circular").alias("topology"), F.length("donor").alias("length"), F.col("donor").alias("sequence"))
+    return ends.golden_gate_digest(d)
+
+
 @query(views("molecules", more=CUTS) + "SELECT seq_id, enzyme, list(site_start::BIGINT ORDER BY site_start, strand)::VARCHAR AS sites, count(*) AS n FROM cuts GROUP BY 1, 2")
 def packed_sites(spark, sf_dir):
     """All sites of an enzyme in a molecule as one sorted array."""
