@@ -23,7 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, 0.8)."""
+    """One document of each group of near copies (five-word shingles, 0.8): those that SimHash and the
+    pigeonring find, checked whole, and those whose fingerprints lie further apart."""
     return simhash.without_copies(docs, SIMILARITY)
 
 

@@ -223,6 +223,24 @@ def shingle_sets(docs: list[bytes], shingle: int = 5) -> tuple[np.ndarray, np.nd
     return hashes[new], np.searchsorted(owner[new], np.arange(len(docs) + 1))
 
 
+def set_prints(h: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """A number for each set of hashes (shingle_sets), equal for equal sets."""
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(h + np.uint64(0x632BE59BD9B4E019)))])
+    return mix(total[low[1:]] - total[low[:-1]] + np.diff(low).astype(np.uint64)).view(np.int64)
+
+
+def ring_pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b), a < b: pairs of different sets (fp) whose texts' fingerprints (sim) are equal or, by the
+    pigeonring, within the radius: enough of them to connect all that any chain of such pairs connects."""
+    own = prints.select("sim", "fp").distinct()
+    least = cut(own.groupBy("sim").agg(F.min("fp").alias("least")))
+    links = link_fingerprints(least.select(F.col("sim").alias("fp")), radius)
+    end = lambda name, value: least.select(F.col("sim").alias(name), F.col("least").alias(value))
+    across = links.join(end("a", "x"), "a").join(end("b", "y"), "b").select("x", "y")
+    equal = own.join(least, "sim").select(F.col("fp").alias("x"), F.col("least").alias("y"))
+    return across.unionByName(equal).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _sets_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Packed sets, one after the other, and the set of each hash."""
     packed = column.to_pylist()
@@ -387,8 +405,13 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
     """(id, component_id) of every row: documents are linked whose sets of word shingles resemble
     each other by ``similarity`` or more; component_id is the smallest id reachable over links.
 
-    No such link between components is lost and no other is made (up to collisions of 64-bit
-    hashes). In any order of all hashes, two such sets share one of their first
+    First come the texts whose SimHash fingerprints the pigeonring finds within ``RADIUS`` bits
+    (ring_pairs); such a pair is linked if its whole sets resemble each other enough. Fingerprints
+    at a resemblance of ``similarity`` differ in more bits than the ring can search, so the sets that
+    these links leave apart are searched by their hashes. No link between components is lost and no
+    other is made (up to collisions of 64-bit hashes).
+
+    In any order of all hashes, two sets of that resemblance share one of their first
     n - ceil(similarity * n) + 1 hashes, so these are the keys of a set; rare ones come first, by
     counts of hash cells. Keys that no two possible partners share go at once. Then every set is
     compared, whole, with two sets of each of its keys, picked by hashes: that joins a group of near
@@ -406,11 +429,20 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
             docs_ = texts(batch.column(1))
             for a, b in slices([len(d) for d in docs_]):
                 h, low = shingle_sets(docs_[a:b], shingle)
-                total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(h + np.uint64(0x632BE59BD9B4E019)))])
-                fp = mix(total[low[1:]] - total[low[:-1]] + np.diff(low).astype(np.uint64)).view(np.int64)
+                fp = set_prints(h, low)
                 packed = [h[x:y].tobytes() for x, y in zip(low[:-1], low[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fp), pa.array(packed, pa.binary())], names=["id_", "fp", "h"])
 
+    def both_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            docs_ = texts(batch.column(1))
+            for a, b in slices([len(d) for d in docs_]):
+                fp = set_prints(*shingle_sets(docs_[a:b], shingle))
+                sim = fingerprint_texts(docs_[a:b]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fp), pa.array(sim)], names=["id_", "fp", "sim"])
+
+    prints = cut(held.mapInArrow(lean(both_prints), "id_ bigint, fp bigint, sim bigint"))
+    near = cut(ring_pairs(prints))
     sets = held.mapInArrow(lean(prints_of), "id_ bigint, fp bigint, h binary")  # made anew where needed: cheaper than to keep
     counts = _cells(sets)
     cells = spark.sparkContext.broadcast(counts)
@@ -505,11 +537,21 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
         both = pairs.join(whole.select(F.col("fp").alias("a"), F.col("h").alias("x")), "a").join(whole.select(F.col("fp").alias("b"), F.col("h").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(lean(alike), "a bigint, b bigint")
 
+    def apart(pairs: DataFrame, stars: DataFrame) -> DataFrame:
+        """The pairs that the stars do not join."""
+        for c in "ab":
+            pairs = pairs.join(stars.select(F.col("v").alias(c), F.col("label").alias(f"of_{c}")), c, "left")
+        return pairs.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
     dealt = sets.select("fp", "h").mapInArrow(lean(packed_keys), "bucket int, x binary").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
     rows = cut(dealt.mapInArrow(lean(shared_keys), "k bigint, fp bigint, size bigint, place bigint"))
     touched = rows.select("fp").distinct()
     whole = cut(_having(sets.select("fp", "h"), touched).join(touched, "fp", "left_semi").groupBy("fp").agg(F.first("h").alias("h")))
 
+    # a set that no possible partner shares a key with is in no link, so the check needs the others only
+    links = cut(checked(near))
+    stars = components(links)
+
     # two sets of each key and class of sizes, and of the class below: partners lie in neighbouring classes
     graded = rows.withColumn("step", F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / F.lit(float(-np.log(similarity) * (1 + 1e-9)))))
     picked = F.array(*[F.min(F.struct(F.xxhash64(F.lit(turn), "fp").alias("o"), F.col("fp").alias("other"), F.col("size").alias("s2"), F.col("place").alias("p2"))) for turn in (0, 1)])
@@ -517,7 +559,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
     picked = picked.select("k", F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("step"), "x").select("k", "step", F.inline("x")).drop("o").distinct()
     fits = (F.least("size", "s2") >= similarity * F.greatest("size", "s2") - 1e-9) & (F.least(F.col("size") - F.col("place"), F.col("s2") - F.col("p2")) >= F.ceil((F.col("size") + F.col("s2")) * (similarity / (1 + similarity)) - 1e-9))
     pairs = cut(graded.join(picked, ["k", "step"]).where((F.col("fp") != F.col("other")) & fits).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct())
-    links = cut(checked(pairs))
+    links = links.unionByName(cut(checked(apart(pairs, stars))))
     stars = components(links)
 
     labelled = whole.mapInArrow(lean(folded), "fp bigint, " + ", ".join(f"b{k} bigint" for k in range(FOLD))).join(stars.select(F.col("v").alias("fp"), "label"), "fp", "left")
@@ -529,7 +571,6 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
     rows = rows.repartition(partitions(spark), "k", "i", "j").sortWithinPartitions("k", "i", "j")
     more = checked(cut(rows.mapInArrow(lean(cross_of), "a bigint, b bigint").distinct()))
     stars = components(links.unionByName(more))
-    prints = cut(sets.select("id_", "fp"))
     own = prints.groupBy("fp").agg(F.min("id_").alias("least"))
     place = own.join(stars, own.fp == stars.v, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     root = place.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -188,3 +188,57 @@ def test_near_copies_link_nothing_below(spark):
         if 0.72 <= _resemblance(a, b) < 0.8:
             rows += [(len(rows), a), (len(rows) + 1, b)]
     assert all(r.doc_id == r.component_id for r in simhash.near_copies(frame(spark, rows)).collect())
+
+
+def test_ring_pairs_connect_all_within_the_radius(spark):
+    rng = random.Random(33)
+    rows = []
+    for k in range(40):
+        centre = rng.getrandbits(64)
+        for j in range(6):
+            x = centre
+            for _ in range(rng.randrange(0, 4)):
+                x ^= 1 << rng.randrange(64)
+            rows.append((x, 100 * k + j % 5))  # one set under two fingerprints, too
+    signed = [(x - (1 << 64) if x >> 63 else x, fp) for x, fp in rows]
+    found = [(r.a, r.b) for r in simhash.ring_pairs(spark.createDataFrame(signed, "sim bigint, fp bigint").repartition(3)).collect()]
+    sims = {}
+    for x, fp in rows:
+        sims.setdefault(fp, set()).add(x)
+    near = [(a, b) for a in sims for b in sims if a < b and any((x ^ y).bit_count() <= 3 for x in sims[a] for y in sims[b])]
+    assert all(a < b for a, b in found) and len(found) == len(set(found))
+
+    def groups(links):
+        label = {fp: fp for fp in sims}
+        for _ in sims:
+            for a, b in links:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    assert groups(found) == groups(near) and len(set(groups(near).values())) < len(sims)
+
+
+def test_near_copies_come_from_fingerprints_and_are_checked(spark, monkeypatch):
+    rng = random.Random(34)
+    text = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(20):  # one word of 600 changed: a bit or two
+        w = text(600)
+        rows.append((2 * k, " ".join(w)))
+        w[300] = "changed"
+        rows.append((2 * k + 1, " ".join(w)))
+    for k in range(20):  # equal but for the words that a repeated line drowns: one fingerprint, other sets
+        line = text(3) * 200
+        rows += [(1000 + 2 * k, " ".join(line + text(8))), (1001 + 2 * k, " ".join(line + text(8)))]
+    made, own = [], simhash.ring_pairs
+
+    def seen(prints, *rest):
+        out = own(prints, *rest)
+        ids = {r.fp: r.id_ for r in prints.collect()}
+        made.extend(tuple(sorted((ids[r.a], ids[r.b]))) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(simhash, "ring_pairs", seen)
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, rows)).collect()}
+    assert len([p for p in made if p[1] < 1000]) >= 15 and len([p for p in made if p[0] >= 1000]) >= 15
+    assert all(found[k] == k // 2 * 2 for k in range(40)) and all(found[k] == k for k in found if k >= 1000)
