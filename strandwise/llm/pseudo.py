@@ -34,6 +34,7 @@ ROUNDS, STRIDE, BATCH, RATE = 4, 4, 512, 0.4
 STEPS, ROWS, CELL = 16, 1024, 4096
 SCORED = 16384
 SIDE = 2
+AROUND = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
 BUCKETS = 1024
 UNSEEN = 0.5
 
@@ -69,16 +70,17 @@ class Model:
             own = slice(self.low[c], self.low[c + 1])
             for low in range(edge[c], edge[c + 1], ROWS):
                 at = order[low : min(low + ROWS, edge[c + 1])]
-                h, k = hidden[at], (np.arange(len(at)), self.place[target[at]] - self.low[c])
-                z = h @ weights[own].T + self.bias[own]
-                z -= z.max(axis=1, keepdims=True)
+                h, k = hidden.take(at, axis=0), (self.place[target[at]] - self.low[c], np.arange(len(at)))
+                z = weights[own] @ h.T  # a row for each word: maxima and sums run along memory
+                z += self.bias[own, None]
+                z -= z.max(axis=0)
                 p = np.exp(z)
-                total = p.sum(axis=1)
+                total = p.sum(axis=0)
                 out[at] = z[k] - np.log(total)
                 if rate:
-                    p /= total[:, None]
+                    p /= total
                     p[k] -= 1
-                    weights[own] -= (rate / len(at)) * (p.T @ h)
+                    weights[own] -= (rate / len(at)) * (p @ h)
         return out
 
     def ids(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -107,16 +109,19 @@ def start_params(seed: int = 3) -> list[np.ndarray]:
 def forward(params: list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Inputs, hidden values and log-probabilities of classes."""
     embed, w1, b1, w2, b2, _ = params
-    x = embed[context].reshape(len(context), -1)
-    hidden = np.tanh(x @ w1 + b1)
-    z = hidden @ w2 + b2
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return x, hidden, z
+    x = embed.take(context, axis=0).reshape(len(context), -1)
+    hidden = x @ w1
+    hidden += b1
+    np.tanh(hidden, out=hidden)
+    z = w2.T @ hidden.T  # a row for each class: maxima and sums run along memory
+    z += b2[:, None]
+    z -= z.max(axis=0)
+    z -= np.log(np.exp(z).sum(axis=0))
+    return x, hidden, z.T
 
 
 def around(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.stack([ids[at + k] for k in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1)
+    return ids[at[:, None] + AROUND]
 
 
 def step(params: list[np.ndarray], context: np.ndarray, target: np.ndarray, rate: float) -> np.ndarray:
