@@ -9,6 +9,7 @@ from __spark_entry__ import queries
 #: Rows of one text each, as many as a query's tables have molecules, reads or features.
 QUERIES = [
     "kmer_distance",
+    "primer_specificity",
 ]
 
 
