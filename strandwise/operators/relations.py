@@ -46,3 +46,19 @@ def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
 def fragment(columns: list[str], ends: Column, sequence: Column) -> Column:
     """A piece of a molecule as JSON text: its columns, ends and bases."""
     return F.to_json(F.struct(*columns, ends.alias("ends"), sequence.alias("sequence")))
+
+
+def quarter_generations(ids: DataFrame, most: int) -> DataFrame:
+    """depth, n, least, most: the tree of ids (id) in which those under 4 are roots and any other comes
+    from id / 4, by generation, ``most`` of them after the roots. An id counts if all it comes from are
+    there; where an id occurs several times, each path to it counts.
+
+    A chain of ids follows from the last one, so all chains are looked up in one join instead of a join
+    for each generation."""
+    seen = ids.groupBy("id").agg(F.count("*").alias("copies"))
+    depth = F.size(F.filter(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.call_function("shiftright", F.col("id"), k * 2)), lambda x: x > 3))
+    chain = seen.where("id IS NOT NULL").select("id", depth.alias("depth")).where(F.col("depth") <= most)
+    chain = chain.select("id", "depth", F.explode(F.transform(F.sequence(F.lit(0), F.col("depth")), lambda k: F.call_function("shiftright", F.col("id"), k * 2))).alias("from"))
+    paths = chain.join(seen.select(F.col("id").alias("from"), "copies").hint("merge"), "from").groupBy("id", "depth").agg(F.count("*").alias("found"), F.collect_list("copies").alias("copies"))
+    whole = paths.where(F.col("found") == F.col("depth") + 1).withColumn("paths", F.aggregate("copies", F.lit(1).cast("bigint"), lambda a, x: a * x))
+    return whole.groupBy("depth").agg(F.sum("paths").alias("n"), F.min("id").alias("least"), F.max("id").alias("most"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandwise import derive
 from strandwise.derive import with_views as views
 from strandwise.functions import seq as S
-from strandwise.operators import cloning, history
+from strandwise.operators import cloning, history, relations
 from strandwise.plans.registry import query
 from strandwise.sources import text
 
@@ -60,12 +60,7 @@ def backup_merge(spark, sf_dir):
 @query("WITH RECURSIVE t AS (SELECT p_partkey AS id, 0 AS depth FROM part WHERE p_partkey < 4 UNION ALL SELECT p.p_partkey, t.depth + 1 FROM t JOIN part p ON p.p_partkey // 4 = t.id AND p.p_partkey > 3 WHERE t.depth < 24) SELECT depth, count(*) AS n, min(id) AS least, max(id) AS most FROM t GROUP BY 1")
 def lineage_recursive(spark, sf_dir):
     """Generations of a provenance tree in which molecule n was made from molecule n / 4."""
-    derive.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 4).alias("parent")).createOrReplaceTempView("strandwise_lineage")
-    return spark.sql(
-        "WITH RECURSIVE t(id, depth) AS (SELECT id, 0 FROM strandwise_lineage WHERE id < 4 UNION ALL "
-        "SELECT p.id, t.depth + 1 FROM t JOIN strandwise_lineage p ON p.parent = t.id AND p.id > 3 WHERE t.depth < 24) "
-        "SELECT depth, count(*) AS n, min(id) AS least, max(id) AS most FROM t GROUP BY depth"
-    )
+    return relations.quarter_generations(derive.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), 24)
 
 
 @query("SELECT s_suppkey, CASE WHEN length(seq) = 0 THEN 'empty' WHEN NOT regexp_full_match(seq, '[ACGTURYKMBDHVSWNacgturykmbdhvswn]+') THEN 'letters' WHEN length(seq) < 15 THEN 'short' ELSE 'ok' END AS state FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 11 = 0 THEN '' WHEN s_suppkey % 5 = 0 THEN s_name ELSE substr(translate(md5(s_suppkey::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTRYSN'), 1, (s_suppkey % 30)::INT) END AS seq FROM supplier)")
