@@ -10,6 +10,7 @@ from __spark_entry__ import queries
 QUERIES = [
     "kmer_distance",
     "primer_specificity",
+    "crispr_offtargets",
 ]
 
 
