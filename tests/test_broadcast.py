@@ -11,6 +11,7 @@ QUERIES = [
     "kmer_distance",
     "primer_specificity",
     "crispr_offtargets",
+    "strand_vote",
 ]
 
 
