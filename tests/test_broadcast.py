@@ -12,6 +12,7 @@ QUERIES = [
     "primer_specificity",
     "crispr_offtargets",
     "strand_vote",
+    "aligned_identities",
 ]
 
 
