@@ -13,6 +13,7 @@ QUERIES = [
     "crispr_offtargets",
     "strand_vote",
     "aligned_identities",
+    "aligned_columns",
 ]
 
 
