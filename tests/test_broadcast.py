@@ -14,6 +14,7 @@ QUERIES = [
     "strand_vote",
     "aligned_identities",
     "aligned_columns",
+    "cds_translate",
 ]
 
 
