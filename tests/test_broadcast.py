@@ -15,6 +15,7 @@ QUERIES = [
     "aligned_identities",
     "aligned_columns",
     "cds_translate",
+    "overhang_warnings",
 ]
 
 
