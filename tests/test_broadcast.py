@@ -16,6 +16,7 @@ QUERIES = [
     "aligned_columns",
     "cds_translate",
     "overhang_warnings",
+    "cds_joined",
 ]
 
 
