@@ -17,6 +17,7 @@ QUERIES = [
     "cds_translate",
     "overhang_warnings",
     "cds_joined",
+    "extract_region",
 ]
 
 
