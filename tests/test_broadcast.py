@@ -18,6 +18,7 @@ QUERIES = [
     "overhang_warnings",
     "cds_joined",
     "extract_region",
+    "goldengate_walk",
 ]
 
 
