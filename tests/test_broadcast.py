@@ -19,6 +19,7 @@ QUERIES = [
     "cds_joined",
     "extract_region",
     "goldengate_walk",
+    "prime_editing",
 ]
 
 
