@@ -20,6 +20,7 @@ QUERIES = [
     "extract_region",
     "goldengate_walk",
     "prime_editing",
+    "codon_usage",
 ]
 
 
