@@ -21,6 +21,7 @@ QUERIES = [
     "goldengate_walk",
     "prime_editing",
     "codon_usage",
+    "protein_properties",
 ]
 
 
