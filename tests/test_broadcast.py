@@ -22,6 +22,7 @@ QUERIES = [
     "prime_editing",
     "codon_usage",
     "protein_properties",
+    "guide_specificity",
 ]
 
 
