@@ -23,6 +23,7 @@ QUERIES = [
     "codon_usage",
     "protein_properties",
     "guide_specificity",
+    "choose_construct",
 ]
 
 
