@@ -24,6 +24,7 @@ QUERIES = [
     "protein_properties",
     "guide_specificity",
     "choose_construct",
+    "verify_clones",
 ]
 
 
